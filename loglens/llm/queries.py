@@ -8,8 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import sentencepiece_bpe, simhash
-from loglens.llm.common import table
+from loglens.llm import extendible, licenses, sentencepiece_bpe, simhash, warc
+from loglens.llm.common import new_path, table
+
+
+#: Bytes of a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.planned(table(spark, sf_dir, "pages")), path)
+    return warc.read(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "complete")
+
+
+def op7_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +39,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       CASE WHEN page_id <> first THEN 1 ELSE (block + 65535) // 65536 END::BIGINT AS segments, true AS complete
+FROM (SELECT d.*, f.first, 87 + 5 + payload_bytes + 4 * ((payload_bytes + 8191) // 8192)
+             + 4 * (payload_bytes // 8192) + CASE WHEN payload_bytes % 8192 > 0 THEN length(printf('%x', payload_bytes % 8192)) ELSE 0 END AS block
+      FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op7_extendible": op7_extendible,
+        "op8_licenses": op8_licenses,
         "op9_simhash": op9_simhash,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": OP1_SQL,
+        "op7_extendible": extendible.oracle_sql(SHARD_BYTES),
+    }
