@@ -111,12 +111,36 @@ class Searcher:
                     first = i
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str):
+    """Broadcast lists of (item id, text), each of at most about BLOCK_BYTES."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / BLOCK_BYTES))
+    for b in range(n):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that hold no test item."""
+    at = docs.columns.index(text_col)
+
+    def one(docs: DataFrame, held) -> DataFrame:
+        def run(batches):
+            searcher = Searcher(held.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([next(searcher.search(plain(x.as_py())), None) is None for x in batch.column(at)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for held in _blocks(benchmark, item_col, item_text):
+        docs = one(docs, held)
+    return docs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document row and item that it holds: doc_id, item_id, ``hits`` (places), ``distance`` (the least) and ``end`` (of that place, in the text as compared)."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
 
     def one(held) -> DataFrame:
         def run(batches):
@@ -137,9 +161,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
         return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, hits long, distance long, end long")
 
     held_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    context, out = docs.sparkSession.sparkContext, None
-    for b in range(blocks):
-        part = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        found = one(context.broadcast(part))
+    out = None
+    for held in _blocks(benchmark, item_col, item_text):
+        found = one(held)
         out = found if out is None else out.unionByName(found)
     return out

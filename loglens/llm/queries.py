@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import decontaminate, extendible, licenses, repeats, sentencepiece_bpe, simhash, spotsigs, warc
+from loglens.llm import decontaminate, extendible, licenses, main_text, repeats, sentencepiece_bpe, simhash, spotsigs, toxicity, warc
 from loglens.llm.common import new_path, table
 
 
@@ -22,11 +22,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "complete")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(table(spark, sf_dir, "documents"))
 
@@ -69,7 +77,9 @@ FROM (SELECT d.*, f.first, 87 + 5 + payload_bytes + 4 * ((payload_bytes + 8191)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
         "op3_decontaminate": op3_decontaminate,
+        "op4_main_text": op4_main_text,
         "op5_spotsigs": op5_spotsigs,
         "op6_repeats": op6_repeats,
         "op7_extendible": op7_extendible,

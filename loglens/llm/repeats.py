@@ -129,9 +129,10 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, text long, pos int, bytes int, v long, t long")
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text hash and the zstd-compressed text."""
+def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
+    """id, text hash, the zstd-compressed text, and the columns to carry as a struct ``row``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    rest = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(F.lit(True).alias("_"), *carry).alias("row"))
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -139,9 +140,10 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = _rows(batch)
             for a in range(0, len(rows), 500):
                 part = rows[a : a + 500]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for _, t in part], np.uint64).view(np.int64)), pa.array([press.compress(t) for _, t in part], pa.binary())], names=["id", "text", "z"])
+                hashes = pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for _, t in part], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), hashes, pa.array([press.compress(t) for _, t in part], pa.binary()), batch.column(2).slice(a, len(part))], names=["id", "text", "z", "row"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, text long, z binary")
+    return rest.mapInArrow(run, f"id {kind}, text long, z binary, row {rest.schema['row'].dataType.simpleString()}")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -260,11 +262,11 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's ``id``, compressed text ``z`` and ``spans`` (null where nothing repeats)."""
+def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """Every row's ``id``, compressed text ``z``, ``spans`` (null where nothing repeats) and carried columns ``row``."""
     found = spans(docs, length, id_col, text_col).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
-    z = packed(docs, id_col, text_col)
-    return z.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2")), "left").select("id", "z", "spans")
+    z = packed(docs, id_col, text_col, carry)
+    return z.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2")), "left").select("id", "z", "spans", "row")
 
 
 def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,13 +291,16 @@ def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
 
 def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id`` and ``kept``, the text without repeated passages; characters that a passage cuts through stay out."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """The rows with repeated passages taken out of their text; characters that a passage cuts through go with it. Null texts become empty."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = with_spans(docs, length, id_col, text_col, others)
+    row = found.schema["row"].dataType.simpleString()
 
     def run(batches):
         opened = zstandard.ZstdDecompressor()
         for batch in batches:
             out = [kept_bytes(opened.decompress(z.as_py()), joined_spans(s.as_py() or [])).decode("utf-8", "ignore") for z, s in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], names=["id", "kept", "row"])
 
-    return with_spans(docs, length, id_col, text_col).mapInArrow(run, f"id {kind}, kept string")
+    kept = found.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, kept string, row {row}")
+    return kept.select(*[F.col("id").alias(c) if c == id_col else F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

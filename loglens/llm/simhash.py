@@ -262,7 +262,22 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``; classes are linked where their shingles are ``similarity`` alike."""
     prints = written(wide_fingerprints(docs, shingle, id_col, text_col), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"))
+    return _near(prints, F.col("doc_id"), shingle, similarity)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that stay: of every component the one with the least id (nulls last), then text hash."""
+    hashed = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw")).alias("who"), F.col(text_col).alias("text"))
+    prints = written(wide_fingerprints(hashed, shingle, "who", "text"), "prints")
+    found = written(_near(prints, F.col("doc_id"), shingle, similarity), "near")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.raw").alias("_raw"))
+    again = not kept.groupBy("_id", "_raw").count().filter("count > 1").isEmpty()
+    out = docs.withColumn("_text", F.xxhash64(text_col)).join(kept.distinct() if again else kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_raw")), "left_semi")
+    return (out.dropDuplicates([id_col, "_text"]) if again else out).drop("_text")
+
+
+def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
+    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"))
     classes = written(classes, "classes")
     step = BAND_BITS // 8
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 1 + i * step, step)) for i in range(WIDE_WORDS * 8 // step)])
