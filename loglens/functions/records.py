@@ -43,39 +43,45 @@ def _number(digits: Column) -> Column:
     return F.when(digits != "", (F.right(digits, F.lit(32)).cast("decimal(38,0)") % F.lit(1 << 32)).cast("long"))
 
 
-def parsed(line: Column) -> Column:
-    """A struct of FIELDS. Lines that are no record have the line as msg, an empty tag and nulls."""
-    order = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 14, 16]
-    cut = F.regexp_replace(line, F.lit(RECORD), F.lit(_FIRST + _CUT.join(f"${g}" for g in order) + _CUT + "$11$12$15" + _CUT + "$13$17"))
-    parts = F.split(F.substring(cut, 2, 1 << 30), _CUT, len(order) + 2)
-    matched = (F.octet_length(line) >= SHORTEST) & F.substring(line, 1, 1).rlike("[0-9]") & cut.startswith(_FIRST)
+_ORDER = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 14, 16]
+
+
+def pieces(line: Column) -> Column:
+    """The groups of a record as an array: typed ones, then tag and message; null for other lines."""
+    cut = F.regexp_replace(line, F.lit(RECORD), F.lit(_FIRST + _CUT.join(f"${g}" for g in _ORDER) + _CUT + "$11$12$15" + _CUT + "$13$17"))
+    # A record starts with a digit, so what starts with the mark without having had it has been replaced.
+    found = F.when(cut.startswith(_FIRST) & ~line.startswith(_FIRST) & (F.octet_length(line) >= SHORTEST), cut)
+    return F.split(F.substring(found, 2, 1 << 30), _CUT, len(_ORDER) + 2)
+
+
+def fields(line: Column, parts: Column) -> list[Column]:
+    """FIELDS from the pieces. Lines that are no record have the line as msg, an empty tag and nulls."""
     whole = {g: F.regexp_extract(line, RECORD, g) for g in (11, 12, 13, 15, 17)}
-    odd = F.contains(line, F.lit(_CUT))
-    tag = F.when(odd, F.concat(whole[11], whole[12], whole[15])).otherwise(F.get(parts, F.lit(12)))
-    msg = F.when(odd, F.concat(whole[13], whole[17])).otherwise(F.get(parts, F.lit(13)))
+    odd = F.contains(line, F.lit(_CUT))  # the mark between pieces occurs in the line
     at = lambda i: F.get(parts, F.lit(i))
-    num = lambda i: F.when(matched, at(i)).try_cast("long")
-    year = F.when(matched & (at(0) != ""), at(0)).otherwise("1970").cast("int")
-    month, day, hour, minute, second = (num(i) for i in range(1, 6))
-    sound = matched & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    seconds = days(year, F.when(month.between(1, 12), month).otherwise(1).cast("int"), day) * 86_400 + hour * 3600 + minute * 60 + second
+    tag = F.when(odd, F.concat(whole[11], whole[12], whole[15])).otherwise(at(12))
+    msg = F.when(odd, F.concat(whole[13], whole[17])).otherwise(at(13))
+    year = F.when(at(0) != "", at(0)).otherwise("1970").cast("int")
+    month, day, hour, minute, second = (at(i).try_cast("int") for i in range(1, 6))
+    sound = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
+    seconds = days(year, F.when(month.between(1, 12), month).otherwise(1), day) * 86_400 + hour * 3600 + minute * 60 + second
     exact = seconds.cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)") + F.rpad(F.left(at(6), F.lit(9)), 9, "0").try_cast("decimal(9,0)")
     fits = exact.between(F.lit(-(1 << 63)).cast("decimal(20,0)"), F.lit((1 << 63) - 1).cast("decimal(20,0)"))
     good = F.coalesce(sound & fits, F.lit(False))
-    letter = F.upper(F.concat(at(9), at(10)))
     when = lambda c: F.when(good, c)
-    return F.struct(
+    return [
         when(exact).cast("long").alias("ts_ns"),
         when(_number(F.concat(at(7), at(11)))).alias("pid"),
         when(_number(at(8))).alias("tid"),
-        when(F.instr(F.lit(LEVELS), letter) - 1).cast("tinyint").alias("level"),
+        when(F.instr(F.lit(LEVELS), F.upper(F.concat(at(9), at(10)))) - 1).cast("tinyint").alias("level"),
         F.coalesce(when(F.rtrim(tag)), F.lit("")).alias("tag"),
         F.when(good, msg).otherwise(line).alias("msg"),
         good.alias("structured"),
-    )
+    ]
 
 
 def with_record(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The frame with FIELDS. The generator in between keeps filters on fields from repeating the expression."""
+    """The frame with FIELDS. The generator keeps the regular expression from being repeated by what uses the fields."""
     kept = [c for c in lines.columns if c not in FIELDS]
-    return lines.select(*kept, F.inline(F.array(F.struct(parsed(F.col(line)).alias("r"))))).select(*kept, "r.*")
+    cut = lines.select(*kept, F.inline(F.array(F.struct(pieces(F.col(line)).alias("_pieces")))))
+    return cut.select(*kept, *fields(F.col(line), F.col("_pieces")))
