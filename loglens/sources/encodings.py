@@ -6,16 +6,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII-compatible charsets by label, in order, with the names that Java and Python have for them.
+#: ASCII-compatible charsets by label, in order, with the names that Python has for them.
 ENCODINGS = {
-    "UTF-8": "utf-8", "GB18030": "gb18030", "GBK": "gbk", "Big5": "big5", "EUC-JP": "euc-jp", "Shift_JIS": "shift_jis", "EUC-KR": "euc-kr",
-    "ISO-8859-2": "iso-8859-2", "ISO-8859-3": "iso-8859-3", "ISO-8859-4": "iso-8859-4", "ISO-8859-5": "iso-8859-5", "ISO-8859-6": "iso-8859-6", "ISO-8859-7": "iso-8859-7", "ISO-8859-8": "iso-8859-8",
+    "UTF-8": "utf-8", "GB18030": "gb18030", "GBK / GB2312": "gbk", "Big5": "big5", "Shift_JIS": "shift_jis", "EUC-JP": "euc-jp", "EUC-KR": "euc-kr",
+    "Windows-1250": "cp1250", "Windows-1251": "cp1251", "Windows-1252 / ISO-8859-1": "cp1252", "Windows-1253": "cp1253", "Windows-1254 / ISO-8859-9": "cp1254", "Windows-1255": "cp1255",
+    "Windows-1256": "cp1256", "Windows-1257": "cp1257", "Windows-1258": "cp1258", "Windows-874 / ISO-8859-11": "cp874",
+    "ISO-8859-2": "iso-8859-2", "ISO-8859-3": "iso-8859-3", "ISO-8859-4": "iso-8859-4", "ISO-8859-5": "iso-8859-5", "ISO-8859-6": "iso-8859-6", "ISO-8859-7": "iso-8859-7", "ISO-8859-8": "iso-8859-8", "ISO-8859-8-I": "iso-8859-8",
     "ISO-8859-10": "iso-8859-10", "ISO-8859-13": "iso-8859-13", "ISO-8859-14": "iso-8859-14", "ISO-8859-15": "iso-8859-15", "ISO-8859-16": "iso-8859-16",
-    "windows-874": "cp874", "windows-1250": "cp1250", "windows-1251": "cp1251", "windows-1252": "cp1252", "windows-1253": "cp1253", "windows-1254": "cp1254", "windows-1255": "cp1255", "windows-1256": "cp1256", "windows-1257": "cp1257", "windows-1258": "cp1258",
-    "KOI8-R": "koi8-r", "KOI8-U": "koi8-u", "IBM866": "cp866", "macintosh": "mac-roman", "x-mac-cyrillic": "mac-cyrillic",
+    "KOI8-R": "koi8-r", "KOI8-U": "koi8-u", "IBM866": "cp866", "macintosh": "mac-roman", "x-mac-cyrillic": "mac-cyrillic", "x-user-defined": "x-user-defined",
 }
 #: Charsets that a JVM may lack; they are decoded in Arrow batches.
-OUTSIDE_JVM = {"ISO-8859-10", "ISO-8859-14", "macintosh", "x-mac-cyrillic"}
+OUTSIDE_JVM = {"iso-8859-10", "iso-8859-14", "mac-roman", "mac-cyrillic", "x-user-defined"}
 HEAD = 64 << 10
 
 
@@ -48,24 +49,33 @@ def detected(head: bytes) -> tuple[str, int]:
         return "GB18030", 0
 
 
+def _text(data: bytes, name: str) -> str:
+    if name == "x-user-defined":  # bytes beyond ASCII are private-use characters
+        return "".join(chr(b if b < 0x80 else 0xF700 + b) for b in data)
+    return data.decode(name, "replace")
+
+
 def decoded(raw: Column, label: str) -> Column:
     """Bytes as text; what is invalid becomes U+FFFD."""
-    if label == "UTF-8":
+    name = ENCODINGS[label]
+    if name == "utf-8":
         return F.make_valid_utf8(raw.cast("string"))
-    if label in OUTSIDE_JVM:
-        name = ENCODINGS[label]
+    if name not in OUTSIDE_JVM:
+        return F.decode(raw, {"cp874": "x-windows-874", "cp866": "IBM866"}.get(name, name.replace("cp", "windows-")))
 
-        @F.pandas_udf("string")
-        def outside(found: pd.Series) -> pd.Series:
-            return found.map(lambda b: None if b is None else bytes(b).decode(name, "replace"))
+    @F.pandas_udf("string")
+    def outside(found: pd.Series) -> pd.Series:
+        return found.map(lambda b: None if b is None else _text(bytes(b), name))
 
-        return outside(raw)
-    return F.decode(raw, label)
+    return outside(raw)
 
 
 def encoded(text: str, label: str) -> bytes:
     """A literal in a file's charset."""
-    return text.encode(ENCODINGS[label], "replace")
+    name = ENCODINGS[label]
+    if name == "x-user-defined":
+        return b"".join(bytes([ord(c) & 0xFF]) if ord(c) < 0x80 or 0xF780 <= ord(c) <= 0xF7FF else b"?" for c in text)
+    return text.encode(name, "replace")
 
 
 def latin1(raw: Column) -> Column:

@@ -36,7 +36,7 @@ def test_filter_sets(spark):
     assert numbers(scan.temporary(log, FilterSet([include, exclude]), "nothing").lines) == [0, 3, 4]
     assert numbers(scan.temporary(log, FilterSet([exclude]), "door").lines) == [0, 4]
     assert numbers(scan.by_both(log, FilterSet([include]), "open").lines) == [0]
-    assert numbers(log.filter(every.selected([False, True, True, False]))) == [0, 4]
+    assert numbers(log.filter(every.selected([False, True, True, False]))) == [0]
     assert [r[0] for r in log.select(every.matching()).collect()] == [[0, 2], [], [0, 1], [], [0]]
 
 
@@ -156,7 +156,11 @@ def test_encodings(spark):
     for label, name in ENCODINGS.items():
         data = bytes(range(32, 127)) + b"\xe4\xd6"
         got = spark.createDataFrame([(data,)], "raw binary").select(decoded(F.col("raw"), label)).first()[0]
-        assert got.startswith(data[:95].decode(name)[:60]), label
+        assert got.startswith(data[:60].decode("ascii")), label
+        if name == "x-user-defined":
+            assert got.endswith("\uf7e4\uf7d6")
+        elif name.startswith(("cp", "iso", "koi", "mac")):
+            assert got == data.decode(name, "replace"), label
 
 
 def test_extraction(spark):
