@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
@@ -15,17 +15,32 @@ LONGEST_FUZZY = 64
 
 
 def folded(text: Column) -> Column:
-    """A-Z in lower case, nothing else changed; plain lower() where a text is ASCII."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    """A-Z in lower case, nothing else changed."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def lowered(text: Column) -> Column:
+    """As good as folded() where ASCII keywords are looked for, and much faster: apart from A-Z only two letters have ASCII in their lower case."""
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, folded(text)).otherwise(F.lower(text))
+
+
+def with_lowered(lines: DataFrame, name: str = "_low") -> DataFrame:
+    """The frame with the lowered line. The generator keeps it from being computed anew for every keyword."""
+    return lines.select("*", F.inline(F.array(F.struct(lowered(F.col("line")).alias(name)))))
 
 
 def fold(text: str) -> str:
     return text.translate(str.maketrans(_UPPER, _LOWER))
 
 
-def holds(text: Column, keyword: str, case_sensitive: bool = False) -> Column:
-    """Substring test, ASCII letters in any case by default."""
-    return F.contains(text, F.lit(keyword)) if case_sensitive else F.contains(folded(text), F.lit(fold(keyword)))
+def holds(text: Column, keyword: str, case_sensitive: bool = False, low: Column | None = None) -> Column:
+    """Substring test, ASCII letters in any case by default. low: the lowered text, if it is at hand."""
+    if case_sensitive:
+        return F.contains(text, F.lit(keyword))
+    if not keyword.isascii():
+        return F.contains(folded(text), F.lit(fold(keyword)))
+    return F.contains(lowered(text) if low is None else low, F.lit(fold(keyword)))
 
 
 def fuzzy(text: Column, keyword: str, case_sensitive: bool = False) -> Column:

@@ -35,19 +35,23 @@ def by_query(lines: DataFrame, source: str, options: Options = Options()) -> Out
 
 
 def by_filters(lines: DataFrame, filters: FilterSet) -> Outcome:
-    return Outcome(lines.filter(filters.visible()) if filters.restricts else lines, filters.restricts)
+    if not filters.restricts:
+        return Outcome(lines, False)
+    seen, found = filters.ready(lines)
+    return Outcome(seen.filter(found.visible()).drop("_low"), True)
 
 
 def by_both(lines: DataFrame, filters: FilterSet, source: str, options: Options = Options()) -> Outcome:  # noqa: B008
     query = compiled(source, options)
-    seen = ready(lines, query)
-    return Outcome(seen.filter(query.column & filters.visible()), filters.restricts or not query.empty)
+    seen, found = filters.ready(ready(lines, query))
+    return Outcome(seen.filter(query.column & found.visible()).drop("_low"), filters.restricts or not query.empty)
 
 
 def temporary(lines: DataFrame, filters: FilterSet, source: str, options: Options = Options()) -> Outcome:  # noqa: B008
     """A query typed for the moment over configured filters."""
     query = compiled(source, options)
-    return Outcome(ready(lines, query).filter(filters.visible_with(query.column)), True)
+    seen, found = filters.ready(ready(lines, query))
+    return Outcome(seen.filter(found.visible_with(query.column)).drop("_low"), True)
 
 
 def counts(lines: DataFrame, filters: FilterSet) -> DataFrame:
@@ -55,7 +59,8 @@ def counts(lines: DataFrame, filters: FilterSet) -> DataFrame:
     if not filters.filters:
         return lines.sparkSession.createDataFrame([], "filter long, n long")
     pairs = [F.struct(F.lit(i).cast("long").alias("filter"), F.col(f"n_{i}").alias("n")) for i in range(len(filters.filters))]
-    return lines.agg(*filters.counts()).select(F.inline(F.array(*pairs)))
+    seen, found = filters.ready(lines)
+    return seen.agg(*found.counts()).select(F.inline(F.array(*pairs)))
 
 
 def summary(matches: DataFrame) -> DataFrame:

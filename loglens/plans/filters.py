@@ -6,11 +6,11 @@ import operator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.regexes import java
-from loglens.functions.text import holds
+from loglens.functions.text import holds, with_lowered
 
 
 
@@ -40,12 +40,12 @@ class Filter:
         return self.enabled and self.text != ""
 
 
-def hit(f: Filter, line: Column | None = None, current: int | None = None, source: str = "source_id") -> Column:
+def hit(f: Filter, line: Column | None = None, current: int | None = None, source: str = "source_id", low: Column | None = None) -> Column:
     """Whether a filter hits a line. current: the source to which filters of that scope are confined."""
     if not f.active:
         return F.lit(False)
     text = F.col("line") if line is None else line
-    found = text.rlike(java(f.text, not f.case_sensitive)) if f.regex else holds(text, f.text, f.case_sensitive)
+    found = text.rlike(java(f.text, not f.case_sensitive)) if f.regex else holds(text, f.text, f.case_sensitive, low)
     if f.scope == "currentfile" and current is not None:
         found = (F.col(source) == current) & found
     return F.coalesce(found, F.lit(False))
@@ -58,9 +58,16 @@ def any_of(columns: list[Column]) -> Column:
 class FilterSet:
     """The columns of a list of filters."""
 
-    def __init__(self, filters: list[Filter], current: int | None = None):
-        self.filters = list(filters)
-        self.hits = [hit(f, current=current) for f in self.filters]
+    def __init__(self, filters: list[Filter], current: int | None = None, low: Column | None = None):
+        self.filters, self.current = list(filters), current
+        self.hits = [hit(f, current=current, low=low) for f in self.filters]
+
+    def ready(self, lines: DataFrame) -> tuple[DataFrame, FilterSet]:
+        """The lines, lowered once if several keywords look at that, and the set that reads them so."""
+        keywords = sum(f.active and not f.regex and not f.case_sensitive for f in self.filters)
+        if keywords < 2:
+            return lines, self
+        return with_lowered(lines), FilterSet(self.filters, self.current, F.col("_low"))
 
     @property
     def restricts(self) -> bool:
