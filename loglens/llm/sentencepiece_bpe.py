@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Segments kept by each Python worker, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 #: Longest segments of each group whose agendas run side by side; beyond the last, each has a heap of its own.
 SIDE_BY_SIDE = (8, 16, 32, 64)
 #: Numbers of characters that are no piece start here; the rank of a pair that makes no piece.

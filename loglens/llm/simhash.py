@@ -35,7 +35,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Classes of a bucket that one task compares; more are dealt into chunks.
 BUCKET = 2_000
 PIVOTS = 16
-BLOCK = 100_000
+BLOCK = 1 << 18  # hashes whose bits are counted at once, by 64-bit words
 WIDE_WORDS, BAND_BITS = 12, 24
 BINS = 128
 #: Share of differing bits of the wide fingerprint beyond which five-word shingles can't be 0.8 alike (mean 0.08, six deviations).
@@ -71,15 +71,16 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Fingerprint of each run of hashes (rows of one or more 64-bit words) that ends at ``ends``; zero for empty runs."""
     words = hashes.shape[1]
+    block = BLOCK // words
     out = np.zeros((len(ends), words), np.uint64)
     starts = np.concatenate(([0], ends[:-1]))
-    for i in np.flatnonzero(ends - starts > BLOCK):  # in pieces, so that a long text needs no more memory
-        counts = sum(np.unpackbits(hashes[a : min(a + BLOCK, ends[i])].view(np.uint8).reshape(-1, words * 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for a in range(starts[i], ends[i], BLOCK))
+    for i in np.flatnonzero(ends - starts > block):  # in pieces, so that a long text needs no more memory
+        counts = sum(np.unpackbits(hashes[a : min(a + block, ends[i])].view(np.uint8).reshape(-1, words * 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for a in range(starts[i], ends[i], block))
         out[i] = np.packbits(counts * 2 > ends[i] - starts[i], bitorder="little").view(np.uint64)
-    some = np.flatnonzero((ends > starts) & (ends - starts <= BLOCK))
+    some = np.flatnonzero((ends > starts) & (ends - starts <= block))
     at = 0
     while at < len(some):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(ends[some[at:]] - starts[some[at:]]), BLOCK, "right")) + at)
+        to = max(at + 1, int(np.searchsorted(np.cumsum(ends[some[at:]] - starts[some[at:]]), block, "right")) + at)
         part = some[at:to]
         sizes = ends[part] - starts[part]
         rows = np.concatenate([hashes[starts[i] : ends[i]] for i in part])

@@ -225,7 +225,7 @@ class Scorer:
     def known(self, word: bytes) -> tuple:
         f = self.kept.get(word)
         if f is None:
-            if len(self.kept) > 500_000:
+            if len(self.kept) > 100_000:
                 self.kept.clear()
             f = self.kept[word] = tuple(x for x in features_of(word) if x in self.base)
         return f
