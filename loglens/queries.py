@@ -90,6 +90,10 @@ _add(
 _add("snk02_filtered_export", lambda s, d: scan.by_filters(doc_lines(s, d), FilterSet(FILTERS)).lines.select("line"), f"WITH {_DL} SELECT line FROM dl WHERE {_VISIBLE}")
 _add("snk04_csv", lambda s, d: sinks.csv_rows(event_json(s, d))[1].select("line_no", "csv"), """SELECT event_id AS line_no, CASE WHEN regexp_matches(props, '[,"\\r\\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS csv FROM events""")
 
+_add("snk08_joined_lines", lambda s, d: sinks.joined(lines.span(chat_lines(s, d), 0, 3)), "SELECT conv_id AS source_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn < 3 GROUP BY 1")
+_add("agg12_extraction_metrics", lambda s, d: s.createDataFrame([extract.metrics(event_log(s, d), extract.by_regex(event_log(s, d), "error"))], "scanned long, matched long"), f"WITH {_EV} SELECT count(*) AS scanned, count_if(contains(line, 'error'))::BIGINT AS matched FROM ev")
+_add("agg02_counts_ignore_visibility", lambda s, d: scan.counts(event_log(s, d), FilterSet([Filter("click", excluding=True), Filter("view"), Filter("error", enabled=False)])), f"WITH {_EV} SELECT 0::BIGINT AS filter, count_if(contains(low, 'click'))::BIGINT AS n FROM ev UNION ALL SELECT 1::BIGINT, count_if(contains(low, 'view'))::BIGINT FROM ev UNION ALL SELECT 2::BIGINT, 0::BIGINT")
+
 # Scalar functions.
 _add(
     "scl01_parse_record",

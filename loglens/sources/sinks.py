@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.operators.render import truncated
+from loglens.operators.views import edited
 
 MAX_LINES, MAX_BYTES = 100, 4096
 
@@ -46,3 +47,14 @@ def write_lines(lines: DataFrame, path: str, sources: list[str] = (), end: str =
     refuse_own(path, list(sources))
     ordered = lines.repartitionByRange("source_id", "line_no").sortWithinPartitions("source_id", "line_no")
     ordered.select("line").write.option("lineSep", end).text(path)
+
+
+def write_edited(lines: DataFrame, edits: DataFrame, path: str, sources: list[str] = (), end: str = "\n") -> None:
+    """A copy of all lines with edits (source_id, line_no, edit) in their place."""
+    write_lines(edited(lines, edits), path, sources, end)
+
+
+def joined(lines: DataFrame) -> DataFrame:
+    """``text``: the chosen lines of each source as one text, in order; for a selection that is copied."""
+    order = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("source_id").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n").alias("text"))

@@ -11,7 +11,7 @@ from loglens.plans.filters import Filter, FilterSet
 from loglens.session import prepared
 from loglens.sources import config, lines, sinks
 from loglens.sources.encodings import ENCODINGS, EncodingError, decoded, detected, named
-from loglens.streaming import tail
+from loglens.streaming import capture, tail
 
 
 def frame(spark, texts, source=0):
@@ -212,3 +212,19 @@ def test_stream_equals_batch(spark, tmp_path):
     tail.stopped(query)
     assert sorted(r.line for r in spark.table("followed").collect()) == ["b 0", "b 1", "b 2"]
     assert [r.line for r in tail.numbered(spark, f"file://{folder}").orderBy("line_no").collect()] == [f"{c} {k}" for k in range(3) for c in "abc"]
+
+
+def test_capture(spark, tmp_path):
+    assert capture.devices("List of devices attached\nabc\tdevice\nxyz unauthorized\n\nemu-1 device product:x\n") == ["abc", "emu-1"]
+    assert capture.safe_name("a:b/c-1.x") == "a_b_c-1.x" and capture.stamp(0.5) == "19700101_000000_500"
+    writer = capture.SegmentWriter(str(tmp_path / "log"), flush_s=0)
+    for piece in (b"one\ntw", b"o\nthr", b"ee"):
+        writer.write(piece)
+    writer.close()
+    assert [r.line for r in tail.numbered(spark, f"file://{tmp_path}/log").orderBy("line_no").collect()] == ["one", "two", "three"]
+
+
+def test_edited_copy(spark, tmp_path):
+    log = frame(spark, ["a", "b", "c"])
+    sinks.write_edited(log, spark.createDataFrame([(0, 1, "B")], "source_id long, line_no long, edit string"), f"file://{tmp_path}/out")
+    assert [r.line for r in tail.numbered(spark, f"file://{tmp_path}/out").orderBy("line_no").collect()] == ["a", "B", "c"]
