@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.common import trimmed
+
 RATE, LEAST, WINDOW, BLOCK_BYTES = 0.06, 24, 512, 8 << 20
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -131,7 +133,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: s
             for batch in batches:
                 yield batch.filter(pa.array([next(searcher.search(plain(x.as_py())), None) is None for x in batch.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(trimmed(run), docs.schema)
 
     for held in _blocks(benchmark, item_col, item_text):
         docs = one(docs, held)
@@ -158,7 +160,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], held_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "hits", "distance", "end"]
                 )
 
-        return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, hits long, distance long, end long")
+        return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {kind}, item_id {item_kind}, hits long, distance long, end long")
 
     held_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
     out = None

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import written
+from loglens.llm.common import trimmed, written
 from loglens.llm.simhash import mix, whole_cells
 
 GROUP = 20_000
@@ -126,7 +126,7 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
                     names=["id", "text", "pos", "bytes", "v", "t"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, text long, pos int, bytes int, v long, t long")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, text long, pos int, bytes int, v long, t long")
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
@@ -143,7 +143,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -
                 hashes = pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for _, t in part], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), hashes, pa.array([press.compress(t) for _, t in part], pa.binary()), batch.column(2).slice(a, len(part))], names=["id", "text", "z", "row"])
 
-    return rest.mapInArrow(run, f"id {kind}, text long, z binary, row {rest.schema['row'].dataType.simpleString()}")
+    return rest.mapInArrow(trimmed(run), f"id {kind}, text long, z binary, row {rest.schema['row'].dataType.simpleString()}")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -240,8 +240,8 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                 names=["id", "text", "start", "end"],
             )
 
-    cells = both.mapInArrow(cut, context).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
-    parts = cells.mapInArrow(scan, f"id {kind}, text long, start int, end int")
+    cells = both.mapInArrow(trimmed(cut), context).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
+    parts = cells.mapInArrow(trimmed(scan), f"id {kind}, text long, start int, end int")
     return whole.unionByName(parts).distinct().groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
@@ -287,7 +287,7 @@ def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                 shas.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, length, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, length, id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,5 +302,5 @@ def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_
             out = [kept_bytes(opened.decompress(z.as_py()), joined_spans(s.as_py() or [])).decode("utf-8", "ignore") for z, s in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], names=["id", "kept", "row"])
 
-    kept = found.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, kept string, row {row}")
+    kept = found.mapInArrow(trimmed(run), f"id {docs.schema[id_col].dataType.simpleString()}, kept string, row {row}")
     return kept.select(*[F.col("id").alias(c) if c == id_col else F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

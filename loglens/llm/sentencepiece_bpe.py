@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loglens.llm.common import trimmed
+
 MARK = "▁"
 #: Segments kept by each Python worker, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
 #: Longest segments of each group whose agendas run side by side; beyond the last, each has a heap of its own.
 SIDE_BY_SIDE = (8, 16, 32, 64)
 #: Numbers of characters that are no piece start here; the rank of a pair that makes no piece.
@@ -205,7 +207,7 @@ def tokenizer(model_path: str) -> Tokenizer:
     return _loaded[model_path]
 
 
-def blocks(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def blocks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of a batch's texts by bytes, so that a batch of long texts needs no more memory than one of short ones."""
     start, size, out = 0, 0, []
     for i, x in enumerate(column):
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 ids = t.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(ids, pa.binary()), pa.array(t.decode_batch(ids), pa.string())], names=[id_col, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,4 +249,4 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import written
+from loglens.llm.common import trimmed, written
 from loglens.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
                 found = majority(np.array(hashes, np.uint64).reshape(-1, 1), np.array(ends))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(found[:, 0].view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
     cells = in_cells(rows).select("key", "lo", "hi", "id")
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +257,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
                 wide = majority(np.ascontiguousarray(many), np.array(ends))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "wide", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,5 +309,5 @@ def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
             node, root = forest(*linked(cell, coordinates[:, 0], reach, alike), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
-    found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
     return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), components(found))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.common import trimmed
+
 LABELLED, UNLABELLED = 8_000, 4_000
 VOTERS, FEATURES = 256, 512
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -88,7 +90,7 @@ def counted(docs: DataFrame, labels: dict, id_col: str, text_col: str) -> DataFr
         names = list(all_of)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([all_of[x] for x in names], pa.int64()), pa.array([toxic[x] for x in names], pa.int64())], names=["feature", "n", "toxic"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
 def chosen(counts: DataFrame, clean: int, toxic: int) -> tuple[list[str], list[str]]:
@@ -194,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.list_(pa.int32())), pa.array(patterns, pa.list_(pa.int32()))], names=["id", "found", "patterns"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    seen = wanted.mapInArrow(run, f"id {kind}, found array<int>, patterns array<int>").orderBy(F.xxhash64("id"), "id", F.xxhash64("found")).limit(LABELLED + 2 * UNLABELLED).collect()
+    seen = wanted.mapInArrow(trimmed(run), f"id {kind}, found array<int>, patterns array<int>").orderBy(F.xxhash64("id"), "id", F.xxhash64("found")).limit(LABELLED + 2 * UNLABELLED).collect()
     if not seen:
         return {"weights": {}, "bias": -3.0, "voters": {}}
     x = np.zeros((len(seen), len(names)), bool)
@@ -247,7 +249,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             ids = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +262,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(x.as_py()) < THRESHOLD for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
