@@ -91,7 +91,7 @@ def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(column: pa.Array, most: int = 2 << 20):
+def _groups(column: pa.Array, most: int = 1 << 18):
     """Runs of a batch's texts as bytes, with the first row of each."""
     start, size, out = 0, 0, []
     for i, x in enumerate(column.cast(pa.binary())):
