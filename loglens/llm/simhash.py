@@ -10,8 +10,9 @@ survivors are verified bit by bit. A bucket gives a spanning forest of its links
 ``BUCKET`` classes is dealt into chunks, and every two chunks meet in a task of their own, so that none is cut short.
 
 ``wide_fingerprints`` and ``near_duplicates`` serve texts that differ by some edits: a fingerprint of 768 bits over
-the set of words finds candidates through bands, and a sketch of the five-word shingles estimates their Jaccard
-similarity (128 bins; standard error 0.035 at 0.8).
+the set of words finds candidates through bands. A sketch of the five-word shingles (128 bins; standard error 0.035 at
+0.8) only discards what it estimates ``MARGIN`` too low; the sets of shingle hashes then decide by their exact Jaccard
+similarity. For that the components of the candidates are dealt into cells of up to ``CHUNK`` classes a side.
 
 Nulls are empty texts; a text without words has fingerprint zero and is linked like any other. Repeated rows and
 rows with one doc_id keep a row each; a null doc_id is never the least of a component that has another. Empty tables
@@ -38,6 +39,10 @@ PIVOTS = 16
 BLOCK = 1 << 18  # hashes whose bits are counted at once, by 64-bit words
 WIDE_WORDS, BAND_BITS = 12, 24
 BINS = 128
+#: What an estimate may lack and still be verified, some six standard errors.
+MARGIN = 0.2
+#: Classes of a component of candidates whose sets one task holds; more are dealt into chunks.
+CHUNK = 500
 #: Share of differing bits of the wide fingerprint beyond which five-word shingles can't be 0.8 alike (mean 0.08, six deviations).
 WIDE_REACH = 0.14
 
@@ -157,10 +162,10 @@ def linked(cell: np.ndarray, first: np.ndarray, reach: float, alike) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def in_cells(rows: DataFrame) -> DataFrame:
+def in_cells(rows: DataFrame, most: int | None = None) -> DataFrame:
     """``key``, ``id`` rows of keys that two or more share, with the cell (``lo``, ``hi``) in which they are compared."""
     size = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / BUCKET).cast("long")
+    chunks = F.ceil(F.col("n") / (most or BUCKET)).cast("long")
     mine = F.pmod(F.xxhash64("id"), chunks)
     other = F.explode(F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     dealt = rows.join(size, "key").select(*rows.columns, mine.alias("mine"), other.alias("other"))
@@ -235,19 +240,20 @@ def _least_of(prints: DataFrame, classes: DataFrame, star: DataFrame) -> DataFra
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (a hash of the words in order, which tells classes of equal words), ``wide`` and ``sketch`` (binary)."""
+    """``doc_id``, ``fp`` (a hash of the words in order, which tells classes of equal words), ``wide``, ``sketch`` and ``set`` (binary): the sorted distinct hashes of the shingles."""
 
     def run(batches):
         f = xxhash.xxh64_intdigest
         for batch in batches:
             for start, texts in _groups(batch.column(1)):
-                whole, hashes, ends, sketches = [], [], [], []
+                whole, hashes, ends, sketches, sets = [], [], [], [], []
                 for t in texts:
                     words = split(t)
                     whole.append(f(b" ".join(words)))
                     hashes += [f(w) for w in set(words)]
                     ends.append(len(hashes))
-                    h = np.fromiter((f(s) for s in shingles(words, shingle)), np.uint64)
+                    h = np.unique(np.fromiter((f(s) for s in shingles(words, shingle)), np.uint64))
+                    sets.append(h.astype("<u8").tobytes())
                     sketch = np.full(BINS, 0xFFFFFFFF, np.uint64)  # least hash of each bin; empty bins agree with nothing
                     np.minimum.at(sketch, (h >> np.uint64(57)).astype(np.int64), (h & np.uint64(0x01FFFFFFFFFFFFFF)) >> np.uint64(25))
                     sketches.append(sketch.astype("<u4").tobytes())
@@ -255,9 +261,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
                 with np.errstate(over="ignore"):
                     many = mix(base[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 wide = majority(np.ascontiguousarray(many), np.array(ends))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "wide", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "wide", "sketch", "set"])
 
-    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary, sketch binary, set binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,8 +283,56 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     return (out.dropDuplicates([id_col, "_text"]) if again else out).drop("_text")
 
 
+def alike_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each set to one of its component, sets being linked where their Jaccard similarity is ``similarity`` or more."""
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    hashes, of = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(hashes, kind="stable")
+    fresh = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    start = np.flatnonzero(fresh)
+    length = np.diff(np.append(start, len(hashes)))
+    run = np.empty(len(hashes), np.int64)
+    run[order] = np.cumsum(fresh) - 1
+    holders, ends, label = of[order], np.cumsum(size), np.arange(n)
+    for i in range(n - 1):
+        if (label == label[0]).all():
+            break
+        mine = run[ends[i] - size[i] : ends[i]]
+        mine = mine[length[mine] > 1]
+        many = length[mine]
+        places = np.arange(many.sum()) + np.repeat(start[mine] - (np.cumsum(many) - many), many)
+        both = np.bincount(holders[places], minlength=n)[i + 1 :]
+        good = i + 1 + np.flatnonzero((both > 0) & (both / (size[i] + size[i + 1 :] - both) >= similarity))
+        if len(good):
+            label[np.isin(label, label[good])] = label[i]
+    node = np.flatnonzero(label != np.arange(n))
+    return node, label[node]
+
+
+def verified(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` that span every component of classes (``fp``, ``set``) whose sets are alike.
+
+    star: the components of candidates, so that alike sets are in one of them.
+    """
+    members = star.select(F.col("v").alias("key"), F.col("u").alias("id")).union(star.select("v", F.col("v").alias("id")).distinct())
+
+    def run(batches):
+        for table in whole_cells(batches, 5):
+            ends = np.append(np.flatnonzero(np.diff(cell_numbers(table))) + 1, len(table))
+            fp, found, a = table.column("id").to_numpy(), [], 0
+            for b in ends.tolist():
+                node, root = alike_sets([np.frombuffer(x.as_py(), "<u8") for x in table.column("set").slice(a, b - a)], similarity)
+                found.append(fp[a + np.stack((node, root))])
+                a = b
+            both = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    cells = in_cells(members, CHUNK).join(sets.withColumnRenamed("fp", "id"), "id").select("key", "lo", "hi", "id", "set")
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
 def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
-    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"))
+    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"), F.min("set").alias("set"))
     classes = written(classes, "classes")
     step = BAND_BITS // 8
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 1 + i * step, step)) for i in range(WIDE_WORDS * 8 // step)])
@@ -303,11 +357,12 @@ def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
                     g = good[k : k + 5_000]
                     x, y = sketch[i[g]], sketch[j[g]]
                     some = (x != 0xFFFFFFFF) | (y != 0xFFFFFFFF)
-                    out[g] = ((x == y) & some).sum(1) >= similarity * some.sum(1)
+                    out[g] = ((x == y) & some).sum(1) >= (similarity - MARGIN) * some.sum(1)
                 return out
 
             node, root = forest(*linked(cell, coordinates[:, 0], reach, alike), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
     found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
-    return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), components(found))
+    star = components(verified(components(found), classes.select("fp", "set"), similarity))
+    return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), star)

@@ -90,3 +90,40 @@ def test_near_duplicates(spark):
             groups.append(g * 3)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i, _ in rows] == groups
+
+
+def brute_groups(texts, similarity=0.8):
+    """Component of each text under exact Jaccard similarity of the sets of five-word shingles."""
+    sets = [set(simhash.shingles(simhash.split((t or "").encode()), 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= similarity:
+            label = [label[i] if x == label[j] else x for x in label]
+    return label
+
+
+def partition(labels):
+    groups = {}
+    for i, x in enumerate(labels):
+        groups.setdefault(x, set()).add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def check_groups(spark, texts):
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert partition([got[i] for i in range(len(texts))]) == partition(brute_groups(texts))
+
+
+@pytest.mark.parametrize("chunk", [500, 7])
+def test_both_sides_of_the_similarity(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk, raising=False)
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    texts = []
+    for at in range(60):  # scattered edits that leave between 0.76 and 0.84 of the shingles alike
+        base = [word() for _ in range(400)]
+        copy = list(base)
+        for place in r.choice(79, 7 + at % 5, replace=False):
+            copy[place * 5] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    check_groups(spark, texts)
