@@ -9,10 +9,12 @@ first coordinate and compared only within that reach, then discarded by their gr
 survivors are verified bit by bit. A bucket gives a spanning forest of its links, never all pairs. A bucket beyond
 ``BUCKET`` classes is dealt into chunks, and every two chunks meet in a task of their own, so that none is cut short.
 
-``wide_fingerprints`` and ``near_duplicates`` serve texts that differ by some edits: a fingerprint of 768 bits over
-the set of words finds candidates through bands. A sketch of the five-word shingles (128 bins; standard error 0.035 at
-0.8) only discards what it estimates ``MARGIN`` too low; the sets of shingle hashes then decide by their exact Jaccard
-similarity. For that the components of the candidates are dealt into cells of up to ``CHUNK`` classes a side.
+``near_duplicates`` serves texts that differ by some edits and is exact on the sets of 64-bit hashes of their
+shingles. Sets of Jaccard similarity s or more share a hash among the first n - ceil(s n) + 1 of each, in any one
+order; that order has hashes that many texts hold last (an estimate that only costs or saves time). Classes meet under
+such hashes; sizes, and bitmaps of the parities of their hashes, whose distance is never above the sets' symmetric
+difference, discard pairs that can't be alike. The components of what is left are dealt into cells of up to ``CHUNK``
+classes a side, where the sets themselves decide.
 
 Nulls are empty texts; a text without words has fingerprint zero and is linked like any other. Repeated rows and
 rows with one doc_id keep a row each; a null doc_id is never the least of a component that has another. Empty tables
@@ -37,14 +39,11 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BUCKET = 2_000
 PIVOTS = 16
 BLOCK = 1 << 18  # hashes whose bits are counted at once, by 64-bit words
-WIDE_WORDS, BAND_BITS = 12, 24
-BINS = 128
-#: What an estimate may lack and still be verified, some six standard errors.
-MARGIN = 0.2
+PARITIES = 1024
+#: Hashes counted at once to tell common ones, how often they must occur there, and how many are told at most.
+COUNTED, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Classes of a component of candidates whose sets one task holds; more are dealt into chunks.
 CHUNK = 500
-#: Share of differing bits of the wide fingerprint beyond which five-word shingles can't be 0.8 alike (mean 0.08, six deviations).
-WIDE_REACH = 0.14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -239,43 +238,86 @@ def _least_of(prints: DataFrame, classes: DataFrame, star: DataFrame) -> DataFra
     return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (a hash of the words in order, which tells classes of equal words), ``wide``, ``sketch`` and ``set`` (binary): the sorted distinct hashes of the shingles."""
+def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` (a hash of the words in order, which tells classes of equal words), ``size``, ``parities`` and ``set`` (binary): the sorted distinct hashes of the shingles."""
 
     def run(batches):
         f = xxhash.xxh64_intdigest
         for batch in batches:
             for start, texts in _groups(batch.column(1)):
-                whole, hashes, ends, sketches, sets = [], [], [], [], []
+                whole, sizes, bits, sets = [], [], [], []
                 for t in texts:
                     words = split(t)
                     whole.append(f(b" ".join(words)))
-                    hashes += [f(w) for w in set(words)]
-                    ends.append(len(hashes))
                     h = np.unique(np.fromiter((f(s) for s in shingles(words, shingle)), np.uint64))
+                    sizes.append(len(h))
+                    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
                     sets.append(h.astype("<u8").tobytes())
-                    sketch = np.full(BINS, 0xFFFFFFFF, np.uint64)  # least hash of each bin; empty bins agree with nothing
-                    np.minimum.at(sketch, (h >> np.uint64(57)).astype(np.int64), (h & np.uint64(0x01FFFFFFFFFFFFFF)) >> np.uint64(25))
-                    sketches.append(sketch.astype("<u4").tobytes())
-                base = np.array(hashes, np.uint64)
-                with np.errstate(over="ignore"):
-                    many = mix(base[:, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                wide = majority(np.ascontiguousarray(many), np.array(ends))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "wide", "sketch", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "size", "parities", "set"])
+
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, size int, parities binary, set binary")
+
+
+def _runs(column: pa.Array, most: int):
+    """Runs of a batch's sets: the first row, all hashes one after another, and the sizes."""
+    start, size, out = 0, 0, []
+    for i, x in enumerate(column):
+        out.append(np.frombuffer(x.as_py(), "<u8"))
+        size += len(out[-1])
+        if size >= most:
+            yield start, np.concatenate(out), np.array([len(x) for x in out])
+            start, size, out = i + 1, 0, []
+    if out:
+        yield start, np.concatenate(out), np.array([len(x) for x in out])
+
+
+def common_hashes(prints: DataFrame) -> np.ndarray:
+    """Sorted hashes that many sets hold, as far as a count by runs tells; they only go last in the order of prefixes."""
+
+    def run(batches):
+        for batch in batches:
+            for _, hashes, _ in _runs(batch.column(0), COUNTED):
+                found, n = np.unique(hashes, return_counts=True)
+                often = n >= OFTEN
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["key", "n"])
+
+    counts = prints.select("set").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key").toArrow().column(0)
+    return np.sort(top.to_numpy().view(np.uint64))
+
 
-    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary, sketch binary, set binary")
+def postings(prints: DataFrame, similarity: float) -> DataFrame:
+    """``key``, ``id``: the first hashes of every class, of which alike classes share one; classes that occur again repeat theirs."""
+    common = common_hashes(prints)
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            for start, hashes, size in _runs(batch.column(1), 1 << 18):
+                of = np.repeat(np.arange(len(size)), size)
+                last = np.zeros(len(hashes), bool)
+                if len(common):
+                    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+                order = np.argsort(of * 2 + last, kind="stable")
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+                first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+                taken = place < first[of]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[order][taken].view(np.int64)), pa.array(fp[start + of[taken]])], names=["key", "id"])
+
+    return prints.select("fp", "set").mapInArrow(trimmed(run), "key long, id long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``; classes are linked where their shingles are ``similarity`` alike."""
-    prints = written(wide_fingerprints(docs, shingle, id_col, text_col), "prints")
+    prints = written(shingle_sets(docs, shingle, id_col, text_col), "prints")
     return _near(prints, F.col("doc_id"), shingle, similarity)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, that stay: of every component the one with the least id (nulls last), then text hash."""
     hashed = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw")).alias("who"), F.col(text_col).alias("text"))
-    prints = written(wide_fingerprints(hashed, shingle, "who", "text"), "prints")
+    prints = written(shingle_sets(hashed, shingle, "who", "text"), "prints")
     found = written(_near(prints, F.col("doc_id"), shingle, similarity), "near")
     kept = found.filter("doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.raw").alias("_raw"))
     again = not kept.groupBy("_id", "_raw").count().filter("count > 1").isEmpty()
@@ -331,38 +373,61 @@ def verified(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
+def candidates(cell: np.ndarray, size: np.ndarray, similarity: float, alike) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of a cell's pairs whose sizes allow ``similarity``, rows being in the order of cell and size.
+
+    alike(i, j): which of the pairs are left by verification. Pairs that earlier ones connect aren't looked at.
+    """
+    n, at = len(cell), np.arange(len(cell))
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    label, node, root, fresh = np.arange(n), [], [], False
+    for step in range(1, n):
+        at = at[at + step < n]
+        at = at[(cell[at + step] == cell[at]) & (size[at] >= similarity * size[at + step] - 1e-6)]
+        if not len(at):
+            break
+        pairs = at[label[at] != label[at + step]]
+        for k in range(0, len(pairs), 50_000):
+            part = pairs[k : k + 50_000]
+            good = part[alike(part, part + step)]
+            node.append(good)
+            root.append(good + step)
+            fresh |= len(good) > 0
+        if fresh and step & (step - 1) == 0:
+            a, b = forest(np.concatenate(node), np.concatenate(root), n)
+            label = np.arange(n)
+            label[a] = b
+            node, root, fresh = [a], [b], False
+            parted = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+            at = at[parted[cell[at]]]
+    none = np.zeros(0, np.int64)
+    return forest(np.concatenate([none, *node]), np.concatenate([none, *root]), n)
+
+
 def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
-    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("wide").alias("wide"), F.min("sketch").alias("sketch"), F.min("set").alias("set"))
+    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("size").alias("size"), F.min("parities").alias("parities"))
     classes = written(classes, "classes")
-    step = BAND_BITS // 8
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 1 + i * step, step)) for i in range(WIDE_WORDS * 8 // step)])
-    cells = in_cells(classes.select(F.explode(bands).alias("key"), F.col("fp").alias("id")))
-    full = cells.join(classes.select(F.col("fp").alias("id"), "wide", "sketch"), "id").select("key", "lo", "hi", "id", "wide", "sketch")
-    reference, reach = pivots(PIVOTS, WIDE_WORDS), int(WIDE_REACH * 64 * WIDE_WORDS)
+    rows = postings(prints, similarity)
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
+    cells = in_cells(written(rows.join(shared, "key").select("key", "id").distinct(), "postings"))
+    full = cells.join(classes.select(F.col("fp").alias("id"), "size", "parities"), "id").select("key", "lo", "hi", "id", "size", "parities")
+    apart = (1 - similarity) / (1 + similarity)  # most of the symmetric difference of alike sets, as a share of both sizes
 
     def run(batches):
         for table in whole_cells(batches, 6):
-            cell, fp = cell_numbers(table), table.column("id").to_numpy()
-            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(-1, BINS)
-            coordinates = np.stack([np.bitwise_count(wide ^ p).sum(1, dtype=np.int16) for p in reference], 1)
-            order = np.lexsort((coordinates[:, 0], cell))
-            cell, fp, wide, sketch, coordinates = (x[order] for x in (cell, fp, wide, sketch, coordinates))
+            cell, fp, size = cell_numbers(table), table.column("id").to_numpy(), table.column("size").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(len(fp), -1)
+            order = np.lexsort((size, cell))
+            cell, fp, size, bits = (x[order] for x in (cell, fp, size, bits))
 
-            def alike(i, j, wide=wide, sketch=sketch, coordinates=coordinates):
-                good = (np.abs(coordinates[i] - coordinates[j]).max(1) <= reach).nonzero()[0]
-                good = good[np.bitwise_count(wide[i[good]] ^ wide[j[good]]).sum(1, dtype=np.int32) <= reach]
-                out = np.zeros(len(i), bool)
-                for k in range(0, len(good), 5_000):
-                    g = good[k : k + 5_000]
-                    x, y = sketch[i[g]], sketch[j[g]]
-                    some = (x != 0xFFFFFFFF) | (y != 0xFFFFFFFF)
-                    out[g] = ((x == y) & some).sum(1) >= (similarity - MARGIN) * some.sum(1)
-                return out
+            def alike(i, j, size=size, bits=bits):
+                return np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int32) <= apart * (size[i] + size[j]) + 1e-6
 
-            node, root = forest(*linked(cell, coordinates[:, 0], reach, alike), len(fp))
+            node, root = candidates(cell, size, similarity, alike)
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
     found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
-    star = components(verified(components(found), classes.select("fp", "set"), similarity))
-    return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), star)
+    near = written(components(found), "candidates")
+    of = near.select("u").union(near.select("v")).distinct()
+    sets = prints.select("fp", "set").join(of.withColumnRenamed("u", "fp"), "fp", "left_semi").groupBy("fp").agg(F.min("set").alias("set"))
+    return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), components(verified(near, sets, similarity)))

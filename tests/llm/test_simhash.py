@@ -127,3 +127,35 @@ def test_both_sides_of_the_similarity(spark, monkeypatch, chunk):
             copy[place * 5] = word()
         texts += [" ".join(base), " ".join(copy)]
     check_groups(spark, texts)
+
+
+def test_replaced_and_appended_blocks(spark):
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    texts = []
+    for at in range(60):
+        base = [word() for _ in range(400)]
+        n = 20 + at  # similarity of 0.9 down to below 0.8 where a block is replaced
+        cut = int(r.integers(0, 400 - n))
+        copy = base[:cut] + [word() for _ in range(n)] + base[cut + n :] if at % 2 else base + [word() for _ in range(n + 30)]
+        texts += [" ".join(base), " ".join(copy)]
+    check_groups(spark, texts)
+
+
+def test_crowds_and_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 9)
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    r = np.random.default_rng(5)
+    some = [f"w{i}" for i in range(40)]
+    word = lambda: some[int(r.integers(0, 40))]
+    line = [word() for _ in range(30)]
+    texts = [None, "", "a", "A", "b c", "a b c d e f"]
+    for _ in range(3):
+        base = [word() for _ in range(60)]
+        for c in range(40):
+            copy = base + line
+            for place in r.choice(60, c % 4, replace=False):
+                copy[place] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join([word() for _ in range(int(r.integers(1, 12)))] + line[: int(r.integers(0, 31))]) for _ in range(60)]
+    check_groups(spark, texts)
