@@ -14,7 +14,7 @@ task of their own, so nothing is capped and no task holds an unbounded group.
 
 Texts cross the shuffle zstd-compressed. Null texts are empty; texts shorter than ``length`` keep everything; ties,
 repeated rows and rows with equal or null ids are documents of their own, so each counts as the other's repeat. Very
-long texts are searched piece by piece. Empty tables give empty results; other columns are not looked at.
+long texts are searched piece by piece; an anchor that two pieces find counts once. Empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -83,16 +83,16 @@ def _rows(batch) -> list[tuple[int, bytes]]:
     return [(i, x.as_py() or b"") for i, x in enumerate(batch.column(1).cast(pa.binary()))]
 
 
-def _pieces(rows, length: int):
-    """Lists of (row, first byte, piece) of some PIECE bytes; pieces of a long text overlap by what a string may need."""
+def _pieces(rows, length: int, most: int):
+    """Lists of (row, first byte, piece) of some ``most`` bytes; pieces of a long text overlap by what a string may need."""
     out, size = [], 0
     for i, text in rows:
-        for a in range(0, max(1, len(text) - length + 1), PIECE):
+        for a in range(0, max(1, len(text) - length + 1), most):
             if len(text) >= length:
-                piece = text[a : a + PIECE + length - 1]
+                piece = text[a : a + most + length - 1]
                 out.append((i, a, piece))
                 size += len(piece)
-                if size >= PIECE:
+                if size >= most:
                     yield out
                     out, size = [], 0
     if out:
@@ -101,7 +101,7 @@ def _pieces(rows, length: int):
 
 def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     """id, text hash, anchor place, bytes of the text, anchor value, hash of the context."""
-    size = length // 2
+    size, most = length // 2, PIECE
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -109,14 +109,20 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
         for batch in batches:
             rows = _rows(batch)
             hashes = [f(t, 42) for _, t in rows]
-            for pieces in _pieces(rows, length):
+            last = (-1, -1)
+            for pieces in _pieces(rows, length, most):
                 data = b"".join(p for _, _, p in pieces)
                 ends = np.cumsum([len(p) for _, _, p in pieces])
                 at, value = select(data, ends.tolist(), length, size)
                 piece = np.searchsorted(ends, at, "right")
                 first = np.concatenate(([0], ends[:-1]))[piece]
-                of = [pieces[k][0] for k in piece.tolist()]
-                pos = [a - s + pieces[k][1] for a, s, k in zip(at.tolist(), first.tolist(), piece.tolist(), strict=True)]
+                of = np.array([i for i, _, _ in pieces], np.int64)[piece]
+                pos = at - first + np.array([a for _, a, _ in pieces], np.int64)[piece]
+                # The last window of a piece and the first of the next may pick one place; places of a text only rise.
+                fresh = (of != np.append(last[0], of[:-1])) | (pos != np.append(last[1], pos[:-1])) if len(of) else np.zeros(0, bool)
+                of, pos, value = of[fresh].tolist(), pos[fresh].tolist(), value[fresh]
+                if of:
+                    last = (of[-1], pos[-1])
                 context = []
                 for i, p in zip(of, pos, strict=True):
                     start = max(0, p + size - length)

@@ -57,3 +57,17 @@ def test_empty_table(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     check(rows, queries.op6_repeats(spark, sf).collect(), 400)
+
+
+def test_long_text_that_repeats_nothing(spark):
+    r = np.random.default_rng(6)
+    long = bytes(r.integers(97, 123, 1_300_000, np.uint8)).decode()
+    rows = [(1, long), (2, "x" * 399), (3, long[600_000:600_500] + "y" * 300)]
+    check(rows, repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 400)
+
+
+def test_no_place_twice(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 16)
+    text = bytes(np.random.default_rng(7).integers(97, 123, 3_000, np.uint8)).decode()
+    places = [r.pos for r in repeats.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string"), 12, "doc_id", "text").collect()]
+    assert len(places) == len(set(places))
