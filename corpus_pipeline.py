@@ -2,7 +2,7 @@
 
 Every stage takes what its predecessor kept, as a Parquet table, and all but the last return the columns of
 ``documents``: toxic documents go; of near-duplicate documents (five-word shingles, Jaccard similarity 0.8) one stays;
-passages of ``PASSAGE`` bytes or more that occur twice are cut out of the texts; documents that hold a benchmark item
+passages of ``PASSAGE`` bytes or ``WORDS`` words or more that occur twice are cut out of the texts; documents that hold a benchmark item
 go; the rest is encoded and decoded.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from loglens.llm import decontaminate, repeats, sentencepiece_bpe, simhash, toxicity
 from loglens.llm.common import table, written
 
-#: Bytes of a repeated passage: about 45 words, so that passages of 50 words and more are found.
-PASSAGE = 250
+#: Bytes of a repeated passage, about 45 words; 51 words are sometimes fewer bytes, so they count as well.
+PASSAGE, WORDS = 250, 51
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: repeated passages go; ``n_chars`` follows the text."""
-    return repeats.kept_texts(docs, PASSAGE).withColumn("n_chars", F.char_length("text").cast("long"))
+    return repeats.kept_texts(docs, PASSAGE, words=WORDS).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from an entry's longest shared left extension to d bytes on, and every occurrenc
 more is output. An anchor value with over ``GROUP`` contexts is dealt into chunks, and every two chunks meet in a
 task of their own, so nothing is capped and no task holds an unbounded group.
 
+Where repeats of ``words`` words are asked for too, the windows of so many words that are shorter than ``length`` bytes
+are counted by 128 bits of hash, all bytes from the first word to the last; longer ones hold strings of ``length`` bytes.
+
 Texts cross the shuffle zstd-compressed. Null texts are empty; texts shorter than ``length`` keep everything; ties,
 repeated rows and rows with equal or null ids are documents of their own, so each counts as the other's repeat. Very
 long texts are searched piece by piece; an anchor that two pieces find counts once. Empty tables give empty results; other columns are not looked at.
@@ -135,6 +138,41 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
     return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, text long, pos int, bytes int, v long, t long")
 
 
+def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text hash, start and end of every window of ``words`` words and less than ``length`` bytes that occurs in another row or, apart from itself, in its own."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    white = np.zeros(256, bool)
+    white[list(b" \t\n\r\x0b\x0c")] = True
+
+    def run(batches):
+        f = xxhash.xxh64_intdigest
+        for batch in batches:
+            of, texts, starts, ends, k1, k2, one, again = [], [], [], [], [], [], [], []
+            for i, data in _rows(batch):
+                inside = np.concatenate(([False], ~white[np.frombuffer(data, np.uint8)], [False]))
+                edges = np.flatnonzero(inside[1:] != inside[:-1])
+                first, last = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
+                short = last - first < length
+                if short.any():
+                    text, seen = f(data, 42), {}
+                    for a, b in zip(first[short].tolist(), last[short].tolist(), strict=True):
+                        of.append(i)
+                        texts.append(text)
+                        starts.append(a)
+                        ends.append(b)
+                        k1.append(f(data[a:b], 1))
+                        k2.append(f(data[a:b], 2))
+                        before = seen.setdefault((k1[-1], k2[-1]), a)
+                        one.append(int(before == a))
+                        again.append(a - before >= b - a)
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), pa.array(again, pa.bool_())], names=["id", "text", "start", "end", "k1", "k2", "one", "again"])
+
+    found = written(docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, text long, start int, end int, k1 long, k2 long, one int, again boolean"), "windows")
+    shared = found.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2")
+    return found.join(shared, ["k1", "k2"]).select("id", "text", "start", "end")
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """id, text hash, the zstd-compressed text, and the columns to carry as a struct ``row``."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -191,8 +229,11 @@ def maximal(left: list[bytes], right: list[bytes], wanted: list[bool], length: i
                 yield i, reach, depth
 
 
-def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text`` (a hash of the text) and ``spans``: start and end byte of repeated passages, which may overlap."""
+def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """``id``, ``text`` (a hash of the text) and ``spans``: start and end byte of repeated passages, which may overlap.
+
+    Passages count from ``length`` bytes on and, where ``words`` is given, from so many words on too.
+    """
     size = length // 2
     found = written(anchors(docs, length, id_col, text_col), "anchors")
     shared = found.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
@@ -248,6 +289,8 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
 
     cells = both.mapInArrow(trimmed(cut), context).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
     parts = cells.mapInArrow(trimmed(scan), f"id {kind}, text long, start int, end int")
+    if words:
+        parts = parts.unionByName(word_repeats(docs, words, length, id_col, text_col))
     return whole.unionByName(parts).distinct().groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
@@ -268,9 +311,9 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), words: int | None = None) -> DataFrame:
     """Every row's ``id``, compressed text ``z``, ``spans`` (null where nothing repeats) and carried columns ``row``."""
-    found = spans(docs, length, id_col, text_col).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
+    found = spans(docs, length, id_col, text_col, words).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
     z = packed(docs, id_col, text_col, carry)
     return z.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2")), "left").select("id", "z", "spans", "row")
 
@@ -296,10 +339,10 @@ def digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     return with_spans(docs, length, id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with repeated passages taken out of their text; characters that a passage cuts through go with it. Null texts become empty."""
+def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """The rows with repeated passages (see spans) taken out of their text; characters that a passage cuts through go with it. Null texts become empty."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    found = with_spans(docs, length, id_col, text_col, others)
+    found = with_spans(docs, length, id_col, text_col, others, words)
     row = found.schema["row"].dataType.simpleString()
 
     def run(batches):

@@ -71,3 +71,15 @@ def test_no_place_twice(spark, monkeypatch):
     text = bytes(np.random.default_rng(7).integers(97, 123, 3_000, np.uint8)).decode()
     places = [r.pos for r in repeats.anchors(spark.createDataFrame([(1, text)], "doc_id long, text string"), 12, "doc_id", "text").collect()]
     assert len(places) == len(set(places))
+
+
+def test_passages_of_short_words(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 2)) for _ in range(n))
+    over, under, alone = words(51), words(50), words(60)
+    rows = [(1, "xx " + over + " yyyy", "en", "s", 0), (2, over, "en", "s", 0), (3, "zzz\n" + under + "\tq", "en", "s", 0), (4, "o " + under, "en", "s", 0), (5, alone, "en", "s", 0), (6, None, "en", "s", 0), (7, "the " * 55, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert got == {1: "xx  yyyy", 2: "", 3: rows[2][1], 4: rows[3][1], 5: alone, 6: "", 7: "the " * 55}
