@@ -205,7 +205,7 @@ _add(
     lambda s, d: doc_lines(s, d).select(*KEY, FilterSet(FILTERS).line_filter().cast("long").alias("filter")),
     f"WITH {_DL} SELECT source_id, line_no, CASE WHEN {_HITS[0]} THEN 0 WHEN {_HITS[3]} THEN 3 WHEN {_HITS[5]} THEN 5 END::BIGINT AS filter FROM dl",
 )
-_add("flt08_spans", lambda s, d: doc_lines(s, d).filter(F.col("line_no") == 0).select("source_id", F.explode(render.spans(F.col("line"), [Filter("the", mode="field"), Filter("her", mode="field"), Filter("e ", mode="field")])).alias("s")).select("source_id", "s.*"))
+_add("flt08_spans", lambda s, d: doc_lines(s, d).select(*KEY, F.explode(render.spans(F.col("line"), [Filter("the", mode="field"), Filter("her", mode="field"), Filter("e ", mode="field")])).alias("s")).select(*KEY, "s.*"))
 _add(
     "flt09_scope",
     lambda s, d: scan.by_filters(event_log(s, d, sources=4), FilterSet([Filter("click"), Filter("view", scope="currentfile")], current=2)).lines.select(*KEY),

@@ -228,3 +228,21 @@ def test_edited_copy(spark, tmp_path):
     log = frame(spark, ["a", "b", "c"])
     sinks.write_edited(log, spark.createDataFrame([(0, 1, "B")], "source_id long, line_no long, edit string"), f"file://{tmp_path}/out")
     assert [r.line for r in tail.numbered(spark, f"file://{tmp_path}/out").orderBy("line_no").collect()] == ["a", "B", "c"]
+
+
+def test_spans_of_all_lines(spark, sf):
+    from loglens import queries
+    from loglens.sources.tables import doc_lines
+
+    want = set()
+    for r in doc_lines(spark, sf).collect():
+        data = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.line).encode()
+        hits = sorted((a, i, len(k)) for i, k in enumerate((b"the", b"her", b"e ")) for a in range(len(data)) if data.startswith(k, a))
+        at = 0
+        for a, i, n in hits:
+            if max(a, at) < a + n:
+                want.add((r.source_id, r.line_no, i, max(a, at), a + n))
+                at = a + n
+    got = queries.queries()["flt08_spans"](spark, sf).collect()
+    assert {(r.source_id, r.line_no, r["filter"], r.start, r.end) for r in got} == want and len(got) == len(want)
+    assert any(r.line_no > 0 for r in got)
