@@ -6,9 +6,10 @@ equals; the best pair merges, its new neighbours join the agenda, and entries wh
 are passed over. Symbols that are no piece fall back to their UTF-8 bytes.
 
 No piece of a checked vocabulary goes on past a character into a following word mark (U+2581), so texts are cut
-there and each worker keeps the ids of the segments that it has met. The agendas of short segments run side by side
-as rows of an array; longer ones use a heap. Every new segment is checked against the sentencepiece library, in one
-call for an Arrow batch; where pieces do go on into a mark, texts are encoded and checked whole.
+there and each worker keeps the ids of the segments that it has met lately. The agendas of segments of up to 64
+characters run side by side as rows of an array, by length, which holds every pair's rank and the piece that it makes;
+longer ones use a heap. Every new segment is checked against the sentencepiece library, in one call for an Arrow
+batch; where pieces do go on into a mark, texts are encoded and checked whole.
 
 Nulls encode as empty texts. An empty text has the begin and end ids alone and decodes to an empty text. Rows are
 independent, so ties, repeated rows and empty tables need no rule, and columns other than the id and the text are
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from operator import add
+from itertools import chain, compress
+from operator import add, not_
 from struct import pack
 
 import numpy as np
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame
 from loglens.llm.common import trimmed
 
 MARK = "▁"
-#: Segments kept by each Python worker, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 32
+#: Bytes of each of the two halves of a Python worker's cache of segments, what an entry takes besides its characters and ids, and the longest segment that is kept.
+CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 40 << 20, 200, 32
 #: Longest segments of each group whose agendas run side by side; beyond the last, each has a heap of its own.
 SIDE_BY_SIDE = (8, 16, 32, 64)
 #: Numbers of characters that are no piece start here; the rank of a pair that makes no piece.
@@ -56,6 +59,8 @@ class Tokenizer:
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if self.cuts else (lambda text: [text] if text else [])
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         self.kept: dict[str, bytes] = {}  # by the segment without its first mark
+        self.older: dict[str, bytes] = {}
+        self.size = 0
         self.mark_a = len(lib.encode("a"))
         # Symbols as numbers: a piece by its id, a character that is no piece by OTHER + its code point.
         self.of_char = np.arange(0x110000, dtype=np.int32) + OTHER
@@ -66,10 +71,7 @@ class Tokenizer:
         splits = {(number(p[:k]) << 32 | number(p[k:])): (self.rank[p], i) for p, i in self.piece.items() for k in range(1, len(p)) if number(p[:k]) >= 0 <= number(p[k:])}
         self.pair_keys = np.array(sorted(splits), np.int64)
         self.pair_ranks = np.array([splits[k][0] for k in self.pair_keys.tolist()] + [NEVER], np.int32)
-        self.of_rank = np.zeros(len(order) + 1, np.int32)  # a rank is one piece's, or arrays aren't used
-        self.distinct = len(order) == len(self.piece)
-        for p, i in self.piece.items():
-            self.of_rank[self.rank[p]] = i
+        self.pair_ids = np.array([splits[k][1] for k in self.pair_keys.tolist()] + [-1], np.int32)
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
@@ -110,11 +112,11 @@ class Tokenizer:
         return out
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each merged pair; NEVER where the two make no piece."""
+        """Place of each pair among pair_ranks and pair_ids; the last one where the two make no piece."""
         key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys, key)
         at[self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] != key] = len(self.pair_keys)
-        return self.pair_ranks[at]
+        return at
 
     def merge_many(self, segments: list[str]) -> list[bytes]:
         """``merge`` of segments of like length, side by side: in each round every segment's agenda gives up its best pair, the leftmost of equals."""
@@ -123,59 +125,66 @@ class Tokenizer:
         real = np.arange(width) < size[:, None]
         symbols = np.full((len(segments), width), -1, np.int32)
         symbols[real] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")]
-        ranks = np.full(symbols.shape, NEVER, np.int32)
+        pairs = np.full(symbols.shape, len(self.pair_keys), np.int32)
         inner = real[:, 1:]
-        ranks[:, :-1][inner] = self.look_up(symbols[:, :-1][inner], symbols[:, 1:][inner])
+        pairs[:, :-1][inner] = self.look_up(symbols[:, :-1][inner], symbols[:, 1:][inner])
+        ranks = self.pair_ranks[pairs]
         out: list[bytes] = [b""] * len(segments)
         row = np.arange(len(segments))
         while len(row):
             best, every = ranks.argmin(1), np.arange(len(row))
-            first = ranks[every, best]
-            done = first == NEVER
+            done = ranks[every, best] == NEVER
             if done.any():
                 for k, x in zip(row[done].tolist(), self.packed(symbols[done]), strict=True):
                     out[k] = x
                 keep = np.flatnonzero(~done)
-                row, symbols, ranks, best, first = row[keep], symbols[keep], ranks[keep], best[keep], first[keep]
+                row, symbols, pairs, ranks, best = row[keep], symbols[keep], pairs[keep], ranks[keep], best[keep]
                 every = np.arange(len(row))
                 if not len(row):
                     break
+            merged = self.pair_ids[pairs[every, best]]
             shift = np.arange(width - 1) > best[:, None]
-            for x in (symbols, ranks):
+            for x in (symbols, pairs, ranks):
                 np.copyto(x[:, :-1], x[:, 1:].copy(), where=shift)
-            symbols[every, best] = self.of_rank[first]
+            symbols[every, best] = merged
             for at in (best, np.maximum(best - 1, 0)):
                 right = symbols[every, at + 1]
-                ranks[every, at] = np.where(right < 0, NEVER, self.look_up(symbols[every, at], right))
+                found = np.where(right < 0, len(self.pair_keys), self.look_up(symbols[every, at], right))
+                pairs[every, at], ranks[every, at] = found, self.pair_ranks[found]
         return out
 
     def packed(self, symbols: np.ndarray) -> list[bytes]:
         real = symbols >= 0
-        ends = np.cumsum(real.sum(1)).tolist()
-        flat = symbols[real]
-        if (flat >= OTHER).any():
-            return [b"".join(pack("<I", x) if x < OTHER else pack(f"<{len(y := chr(x - OTHER).encode())}I", *(self.byte[b] for b in y)) for x in line[line >= 0].tolist()) for line in symbols]
-        data = flat.astype("<u4").tobytes()
-        return [data[4 * i : 4 * j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def new(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of segments that aren't kept, checked against the library."""
-        out = {s: pack(f"<{len(x := self.merge(s))}I", *x) for s in segments if not self.distinct or len(s) > SIDE_BY_SIDE[-1]}
+        ends = (4 * np.cumsum(real.sum(1))).tolist()
+        data = symbols[real].astype("<u4").tobytes()
+        out = [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero((symbols >= OTHER).any(1)).tolist():
+            line = symbols[k]
+            out[k] = b"".join(pack("<I", x) if x < OTHER else pack(f"<{len(y := chr(x - OTHER).encode())}I", *(self.byte[b] for b in y)) for x in line[line >= 0].tolist())
+        return out
+
+    def new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept, each with the mark before it, checked against the library."""
+        out, sizes = {}, np.array([len(w) + 1 for w in words])
         for low, high in zip((0, *SIDE_BY_SIDE), SIDE_BY_SIDE, strict=False):
-            some = [s for s in segments if self.distinct and low < len(s) <= high]
+            some = np.flatnonzero((low < sizes) & (sizes <= high)).tolist()
             for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                out.update(zip(part, self.merge_many(part), strict=True))
+                part = [words[i] for i in some[at : at + 20_000]]
+                out.update(zip(part, self.merge_many([MARK + w for w in part]), strict=True))
+        for i in np.flatnonzero(sizes > SIDE_BY_SIDE[-1]).tolist():
+            out[words[i]] = pack(f"<{len(x := self.merge(MARK + words[i]))}I", *x)
         # The library puts a mark before each text by itself, and drops an only one.
-        theirs = self.library.encode([s[1:].replace(MARK, " ") or f"a{s}" for s in segments], num_threads=1)
-        for s, ids in zip(segments, theirs, strict=True):
-            if out[s] != pack(f"<{len(x := ids if len(s) > 1 else ids[self.mark_a :])}I", *x):
-                raise AssertionError(f"ids of {s[:80]!r} differ from the library's")
+        theirs = self.library.encode([w.replace(MARK, " ") or f"a{MARK}" for w in words], num_threads=1)
+        if "" in out:
+            theirs[words.index("")] = theirs[words.index("")][self.mark_a :]
+        if b"".join(map(out.__getitem__, words)) != array("I", chain.from_iterable(theirs)).tobytes() or any(len(out[w]) != 4 * len(x) for w, x in zip(words, theirs, strict=True)):
+            wrong = next(w for w, x in zip(words, theirs, strict=True) if out[w] != array("I", x).tobytes())
+            raise AssertionError(f"ids of {wrong[:80]!r} differ from the library's")
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, begin and end ids included."""
-        get, cut, asked = self.kept.get, [], set()
+        get, older, cut, asked = self.kept.get, self.older.get, [], set()
         for t in texts:
             if self.cuts and "  " not in t and MARK not in t and t[:1] != " " != t[-1:]:
                 words = t.split(" ") if t else []  # each follows a mark, and is none itself
@@ -183,14 +192,19 @@ class Tokenizer:
                 words = [s[1:] for s in self.segments(MARK + t.replace(" ", MARK))] if t else []
             ids = list(map(get, words))
             if None in ids:
-                asked.update(w for w, x in zip(words, ids, strict=True) if x is None)
+                asked.update(compress(words, map(not_, ids)))
             cut.append((words, ids))
-        found = {s[1:]: x for s, x in self.new([MARK + w for w in asked]).items()}
+        found = {w: x for w in asked if (x := older(w)) is not None}
+        if fresh := [w for w in asked if w not in found]:
+            found |= self.new(fresh)
         first, last = pack("<I", self.begin), pack("<I", self.end)
-        out = [b"".join([first, *(found[w] if x is None else x for w, x in zip(words, ids, strict=True)), last]) if None in ids else b"".join([first, *ids, last]) for words, ids in cut]
-        if len(self.kept) + len(found) > CACHE_ENTRIES:
-            self.kept.clear()
-        self.kept.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
+        out = [b"".join([first, *(map(found.get, words, ids) if None in ids else ids), last]) for words, ids in cut]
+        for w, x in found.items():
+            if len(w) <= CACHE_CHARS:
+                self.kept[w] = x
+                self.size += ENTRY_BYTES + len(w) + len(x)
+        if self.size > CACHE_BYTES:  # what isn't met again while another half fills goes
+            self.older, self.kept, self.size = self.kept, {}, 0
         return out
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
