@@ -9,19 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import written
+from loglens.llm.common import remove, written
+
+
+def _with_least(e: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their node's least neighbour, a table by now: both sides of the join come straight from a shuffle, so that adaptive execution splits a node with very many edges."""
+    return e.join(least, "u")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    out = written(_with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    remove(least)
+    return out
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = _with_least(e, least).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    remove(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,10 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    state = None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
+        # Done when every node that has an edge has one, and its end has none: stars.
+        many = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        if many and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return e
-        state = now
-        e = written(_small_star(_large_star(e)), "edges")
+        half = _large_star(e)
+        remove(e)
+        e = _small_star(half)
+        remove(half)

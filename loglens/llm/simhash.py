@@ -6,32 +6,39 @@ in all but that many of a few blocks, so classes meet in buckets keyed by every
 Within a bucket a table holds each fingerprint's Hamming distances to reference fingerprints (pivots). By the
 triangle inequality a pair further apart in any coordinate than ``radius`` can't be linked: rows are ordered by the
 first coordinate and compared only within that reach, then discarded by their greatest coordinate difference, and
-survivors are verified bit by bit. A bucket gives a spanning forest of its links, never all pairs. A bucket beyond
+survivors are verified bit by bit. The table is made once, sixteen distances in two longs beside each class, and goes
+with it into its buckets. A bucket gives a spanning forest of its links, never all pairs. A bucket beyond
 ``BUCKET`` classes is dealt into chunks, and every two chunks meet in a task of their own, so that none is cut short.
 
 ``near_duplicates`` serves texts that differ by some edits and is exact on the sets of 64-bit hashes of their
 shingles. Sets of Jaccard similarity s or more share a hash among the first n - ceil(s n) + 1 of each, in any one
 order; that order has hashes that many texts hold last (an estimate that only costs or saves time). Classes meet under
-such hashes; sizes, and bitmaps of the parities of their hashes, whose distance is never above the sets' symmetric
-difference, discard pairs that can't be alike. The components of what is left are dealt into cells of up to ``CHUNK``
-classes a side, where the sets themselves decide.
+such hashes; of hashes that the same classes hold one is enough. A class's fingerprint there is a bitmap of the
+parities of its hashes: the distance of two is never above the sets' symmetric difference, and so neither is that of
+their sizes or of their distances to a pivot. Pairs beyond what alike sets may differ by go in this order: by size, by
+greatest coordinate difference, by the bitmaps. The components of what is left are dealt into cells of up to ``CHUNK``
+classes a side, where the sets themselves decide, made anew from the texts of those classes alone.
 
 Nulls are empty texts; a text without words has fingerprint zero and is linked like any other. Repeated rows and
 rows with one doc_id keep a row each; a null doc_id is never the least of a component that has another. Empty tables
-give empty results, and columns other than the id and the text are not looked at.
+give empty results, and columns other than the id and the text are not looked at, whatever their names. Hot keys (a
+bucket, a class of copies, a component) meet their counterpart in joins of two shuffled tables, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import trimmed, written
+from loglens.llm.common import free, remove, trimmed, written
 from loglens.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -161,14 +168,23 @@ def linked(cell: np.ndarray, first: np.ndarray, reach: float, alike) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def in_cells(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """``key``, ``id`` rows of keys that two or more share, with the cell (``lo``, ``hi``) in which they are compared."""
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / (most or BUCKET)).cast("long")
+def dealt(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """``rows`` of the keys in ``sizes`` (``key``, ``n``), with the cell (``lo``, ``hi``) of up to twice ``most`` rows in which they are compared."""
+    chunks = F.ceil(F.col("n") / most).cast("long")
     mine = F.pmod(F.xxhash64("id"), chunks)
     other = F.explode(F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = rows.join(size, "key").select(*rows.columns, mine.alias("mine"), other.alias("other"))
-    return dealt.select(*rows.columns, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    both = rows.join(sizes, "key").select(*rows.columns, mine.alias("mine"), other.alias("other"))
+    return both.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), *[c for c in rows.columns if c != "key"])
+
+
+def in_cells(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (``key``, ``id`` and more) of keys that two or more share, dealt into cells. The sizes are a table of their own, so that the join with them can be split."""
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return dealt(rows, sizes, most or BUCKET)
+
+
+def by_cell(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
 def whole_cells(batches, columns: int):
@@ -193,6 +209,12 @@ def cell_numbers(table: pa.Table) -> np.ndarray:
 
 
 
+def coordinates() -> list:
+    """A fingerprint's distances to the pivots, a byte each, as two longs: ``c0`` and ``c1``."""
+    distance = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long") for p in pivots(PIVOTS, 1)[:, 0].view(np.int64).tolist()]
+    packed = lambda some: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(d, 8 * i) for i, d in enumerate(some)])
+    return [packed(distance[:8]).alias("c0"), packed(distance[8:]).alias("c1")]
+
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Edges ``a``, ``b`` that span every component of distinct fingerprints ``fp`` linked at ``radius`` or fewer bits."""
@@ -200,129 +222,162 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     width = 64 // blocks
     part = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < blocks - 1 else 64 - i * width)) - 1)) for i in range(blocks)]
     keys = F.array(*[F.xxhash64(F.lit(10 * i + j), part[i], part[j]) for i, j in combinations(range(blocks), 2)])
-    rows = prints.select(F.explode(keys).alias("key"), F.col("fp").alias("id"))
-    reference = pivots(PIVOTS, 1)[:, 0]
+    table = prints.select("fp", *coordinates())
+    rows = table.select(F.explode(keys).alias("key"), F.col("fp").alias("id"), "c0", "c1")
 
     def run(batches):
-        for table in whole_cells(batches, 4):
+        for table in whole_cells(batches, 6):
             cell, fp = cell_numbers(table), table.column("id").to_numpy()
-            coordinates = np.bitwise_count(fp.view(np.uint64)[:, None] ^ reference).astype(np.int16)
-            order = np.lexsort((coordinates[:, 0], cell))
-            cell, fp, coordinates = cell[order], fp[order], coordinates[order]
+            at = np.stack([table.column("c0").to_numpy(), table.column("c1").to_numpy()], 1).view(np.uint8).astype(np.int16)
+            order = np.lexsort((at[:, 0], cell))
+            cell, fp, at = cell[order], fp[order], at[order]
 
-            def alike(i, j, fp=fp, coordinates=coordinates):
-                good = (np.abs(coordinates[i] - coordinates[j]).max(1) <= radius).nonzero()[0]
+            def alike(i, j, fp=fp, at=at):
+                good = (np.abs(at[i] - at[j]).max(1) <= radius).nonzero()[0]
                 out = np.zeros(len(i), bool)
                 out[good] = np.bitwise_count((fp[i[good]] ^ fp[j[good]]).view(np.uint64)) <= radius
                 return out
 
-            node, root = forest(*linked(cell, coordinates[:, 0], radius, alike), len(fp))
+            node, root = forest(*linked(cell, at[:, 0], radius, alike), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
-    cells = in_cells(rows).select("key", "lo", "hi", "id")
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
+    return by_cell(in_cells(rows)).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def clusters(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``, the least doc_id that links reach."""
     prints = written(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     star = components(links(classes.select("fp"), radius))
     return _least_of(prints, classes, star)
 
 
 def _least_of(prints: DataFrame, classes: DataFrame, star: DataFrame) -> DataFrame:
     """Per row the least doc_id of its class's component; star: class, root for classes that aren't roots."""
-    rooted = classes.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
+    linked = written(rooted.join(classes.select("fp", "least"), "fp"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    known = written(linked.join(least, "root").select("fp", "component_id"), "known")
+    named = written(classes.select("fp", "least").join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (a hash of the words in order, which tells classes of equal words), ``size``, ``parities`` and ``set`` (binary): the sorted distinct hashes of the shingles."""
+def _sets(texts: list[bytes], shingle: int) -> tuple[list[int], list[np.ndarray]]:
+    """A hash of each text's words in order, which tells classes of equal words, and its sorted distinct shingle hashes."""
+    f, whole, sets = xxhash.xxh64_intdigest, [], []
+    for t in texts:
+        words = split(t)
+        whole.append(f(b" ".join(words)))
+        sets.append(np.unique(np.fromiter(map(f, shingles(words, shingle)), np.uint64)))
+    return whole, sets
 
-    def run(batches):
-        f = xxhash.xxh64_intdigest
-        for batch in batches:
-            for start, texts in _groups(batch.column(1)):
-                whole, sizes, bits, sets = [], [], [], []
-                for t in texts:
-                    words = split(t)
-                    whole.append(f(b" ".join(words)))
-                    h = np.unique(np.fromiter((f(s) for s in shingles(words, shingle)), np.uint64))
-                    sizes.append(len(h))
-                    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                    sets.append(h.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "size", "parities", "set"])
-
-    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, size int, parities binary, set binary")
-
-
-def _runs(column: pa.Array, most: int):
-    """Runs of a batch's sets: the first row, all hashes one after another, and the sizes."""
-    start, size, out = 0, 0, []
-    for i, x in enumerate(column):
-        out.append(np.frombuffer(x.as_py(), "<u8"))
-        size += len(out[-1])
-        if size >= most:
-            yield start, np.concatenate(out), np.array([len(x) for x in out])
-            start, size, out = i + 1, 0, []
-    if out:
-        yield start, np.concatenate(out), np.array([len(x) for x in out])
 
+def common_hashes(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes that many sets hold, as far as counts of runs of texts tell; they only go last in the order of prefixes."""
 
-def common_hashes(prints: DataFrame) -> np.ndarray:
-    """Sorted hashes that many sets hold, as far as a count by runs tells; they only go last in the order of prefixes."""
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["key", "n"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, hashes, _ in _runs(batch.column(0), COUNTED):
-                found, n = np.unique(hashes, return_counts=True)
-                often = n >= OFTEN
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["key", "n"])
-
-    counts = prints.select("set").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for _, texts in _groups(batch.column(0)):
+                held += _sets(texts, shingle)[1]
+                size += sum(map(len, held[-len(texts) :]))
+                if size >= COUNTED:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    counts = docs.select("text").mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "key").limit(COMMON).select("key").toArrow().column(0)
     return np.sort(top.to_numpy().view(np.uint64))
 
 
-def postings(prints: DataFrame, similarity: float) -> DataFrame:
-    """``key``, ``id``: the first hashes of every class, of which alike classes share one; classes that occur again repeat theirs."""
-    common = common_hashes(prints)
+def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id``, ``fp`` (see _sets), ``size``, ``parities``, ``pivots`` (the bitmap's distances to reference bitmaps) and ``prefix``: the first hashes, of which alike sets share one.
+
+    A class that a task meets again has ``fp`` alone.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(common_hashes(docs, shingle))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        common, seen = held.value, set()
+        references = pivots(PIVOTS, PARITIES // 64)
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for start, hashes, size in _runs(batch.column(1), 1 << 18):
+            for start, texts in _groups(batch.column(0)):
+                whole, sets = _sets(texts, shingle)
+                fresh = []
+                for i, x in enumerate(whole):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(i)
+                size = np.array([len(sets[i]) for i in fresh], np.int64)
+                hashes = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in fresh)])
                 of = np.repeat(np.arange(len(size)), size)
+                odd = np.zeros((len(size), PARITIES), np.uint8)
+                np.bitwise_xor.at(odd, (of, (hashes & np.uint64(PARITIES - 1)).astype(np.int64)), 1)
+                bits = np.packbits(odd, axis=1)
+                far = np.bitwise_count(bits.view(np.uint64)[:, None] ^ references).sum(2).astype("<i2")
                 last = np.zeros(len(hashes), bool)
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
                 order = np.argsort(of * 2 + last, kind="stable")
                 place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
                 first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
-                taken = place < first[of]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[order][taken].view(np.int64)), pa.array(fp[start + of[taken]])], names=["key", "id"])
+                taken = hashes[order][place < first[of]].view(np.int64)
+                n = np.minimum(first, size)
+                ends = np.zeros(len(texts) + 1, np.int32)
+                ends[np.array(fresh, np.int64) + 1] = n
+                at = np.full(len(texts), -1)
+                at[fresh] = np.arange(len(fresh))
+                rows = pa.array(at, mask=at < 0)
+                take = lambda values, kind: pa.array(values, kind).take(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), take(size, pa.int32()), take([x.tobytes() for x in bits], pa.binary()), take([x.tobytes() for x in far], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(taken))],
+                    names=["doc_id", "fp", "size", "parities", "pivots", "prefix"],
+                )
 
-    return prints.select("fp", "set").mapInArrow(trimmed(run), "key long, id long")
+    return docs.select("text", "doc_id").mapInArrow(trimmed(run), f"doc_id {kind}, fp long, size int, parities binary, pivots binary, prefix array<long>")
+
+
+def packed_classes(docs: DataFrame) -> DataFrame:
+    """``fp`` and the compressed words ``z`` of every class that a task meets."""
+
+    def run(batches):
+        press, seen = zstandard.ZstdCompressor(level=1), set()
+        for batch in batches:
+            for _, texts in _groups(batch.column(0)):
+                out = {}
+                for t in texts:
+                    words = b" ".join(split(t))
+                    if (fp := xxhash.xxh64_intdigest(words)) not in seen:
+                        seen.add(fp)
+                        out[fp] = press.compress(words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out), np.uint64).view(np.int64)), pa.array(list(out.values()), pa.binary())], names=["fp", "z"])
+
+    return docs.select("text").mapInArrow(trimmed(run), "fp long, z binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``; classes are linked where their shingles are ``similarity`` alike."""
-    prints = written(shingle_sets(docs, shingle, id_col, text_col), "prints")
-    return _near(prints, F.col("doc_id"), shingle, similarity)
+    return _near(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle, similarity)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, that stay: of every component the one with the least id (nulls last), then text hash."""
-    hashed = docs.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("raw")).alias("who"), F.col(text_col).alias("text"))
-    prints = written(shingle_sets(hashed, shingle, "who", "text"), "prints")
-    found = written(_near(prints, F.col("doc_id"), shingle, similarity), "near")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.raw").alias("_raw"))
-    again = not kept.groupBy("_id", "_raw").count().filter("count > 1").isEmpty()
-    out = docs.withColumn("_text", F.xxhash64(text_col)).join(kept.distinct() if again else kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_raw")), "left_semi")
-    return (out.dropDuplicates([id_col, "_text"]) if again else out).drop("_text")
+    id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    who = F.struct(id.isNull().alias("null"), id.alias("id"), F.xxhash64(text).alias("raw"))
+    found = _near(docs.select(who.alias("doc_id"), text.alias("text")), shingle, similarity)
+    key, raw, mine = free(docs, "id", "raw", "hash")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id.id").alias(key), F.col("doc_id.raw").alias(raw))
+    again = not kept.groupBy(key, raw).count().filter("count > 1").isEmpty()
+    out = docs.withColumn(mine, F.xxhash64(text)).join(kept.distinct() if again else kept, id.eqNullSafe(F.col(key)) & (F.col(mine) == F.col(raw)), "left_semi")
+    return (out.dropDuplicates([id_col, mine]) if again else out).drop(mine)
 
 
 def alike_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -336,41 +391,51 @@ def alike_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, n
     run = np.empty(len(hashes), np.int64)
     run[order] = np.cumsum(fresh) - 1
     holders, ends, label = of[order], np.cumsum(size), np.arange(n)
+    mark = np.zeros(len(start), bool)
     for i in range(n - 1):
-        if (label == label[0]).all():
-            break
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(np.maximum(size[others], size[i]), 1) - 1e-6]
+        if not len(others):
+            continue
         mine = run[ends[i] - size[i] : ends[i]]
-        mine = mine[length[mine] > 1]
         many = length[mine]
-        places = np.arange(many.sum()) + np.repeat(start[mine] - (np.cumsum(many) - many), many)
-        both = np.bincount(holders[places], minlength=n)[i + 1 :]
-        good = i + 1 + np.flatnonzero((both > 0) & (both / (size[i] + size[i + 1 :] - both) >= similarity))
+        if size[others].sum() <= many.sum():  # few are left: their own hashes are looked at
+            mark[mine] = True
+            last = np.cumsum(size[others])
+            places = np.arange(last[-1]) + np.repeat(ends[others] - last, size[others])
+            both = np.add.reduceat(mark[run[places]], last - size[others], dtype=np.int64)
+            mark[mine] = False
+        else:
+            places = np.arange(many.sum()) + np.repeat(start[mine] - (np.cumsum(many) - many), many)
+            both = np.bincount(holders[places], minlength=n)[others]
+        good = others[both / (size[i] + size[others] - both) >= similarity]
         if len(good):
             label[np.isin(label, label[good])] = label[i]
     node = np.flatnonzero(label != np.arange(n))
     return node, label[node]
 
 
-def verified(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``a``, ``b`` that span every component of classes (``fp``, ``set``) whose sets are alike.
+def verified(star: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` that span every component of classes (``fp``, ``z``) whose sets are alike.
 
     star: the components of candidates, so that alike sets are in one of them.
     """
     members = star.select(F.col("v").alias("key"), F.col("u").alias("id")).union(star.select("v", F.col("v").alias("id")).distinct())
 
     def run(batches):
+        opened = zstandard.ZstdDecompressor()
         for table in whole_cells(batches, 5):
             ends = np.append(np.flatnonzero(np.diff(cell_numbers(table))) + 1, len(table))
             fp, found, a = table.column("id").to_numpy(), [], 0
             for b in ends.tolist():
-                node, root = alike_sets([np.frombuffer(x.as_py(), "<u8") for x in table.column("set").slice(a, b - a)], similarity)
+                node, root = alike_sets(_sets([opened.decompress(x.as_py()) for x in table.column("z").slice(a, b - a)], shingle)[1], similarity)
                 found.append(fp[a + np.stack((node, root))])
                 a = b
             both = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    cells = in_cells(members, CHUNK).join(sets.withColumnRenamed("fp", "id"), "id").select("key", "lo", "hi", "id", "set")
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
+    cells = in_cells(members, CHUNK).join(classes.withColumnRenamed("fp", "id"), "id").select("key", "lo", "hi", "id", "z")
+    return by_cell(cells).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def candidates(cell: np.ndarray, size: np.ndarray, similarity: float, alike) -> tuple[np.ndarray, np.ndarray]:
@@ -404,30 +469,50 @@ def candidates(cell: np.ndarray, size: np.ndarray, similarity: float, alike) ->
     return forest(np.concatenate([none, *node]), np.concatenate([none, *root]), n)
 
 
-def _near(prints: DataFrame, who, shingle: int, similarity: float) -> DataFrame:
-    classes = prints.groupBy("fp").agg(F.min(who).alias("least"), F.min("size").alias("size"), F.min("parities").alias("parities"))
-    classes = written(classes, "classes")
-    rows = postings(prints, similarity)
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("key")
-    cells = in_cells(written(rows.join(shared, "key").select("key", "id").distinct(), "postings"))
-    full = cells.join(classes.select(F.col("fp").alias("id"), "size", "parities"), "id").select("key", "lo", "hi", "id", "size", "parities")
+def shared_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (``key``, ``id``) of keys that occur twice, and ``key``, ``n`` of the least of all keys that one set of ids shares: the pairs of the others are its pairs."""
+    met = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "met")
+    shared = written(rows.join(met, "key"), "shared")
+    h, part = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))], F.lit((1 << 30) - 1)
+    sums = [F.sum(x.bitwiseAND(part)) for x in (h[0], F.shiftrightunsigned(h[0], 32), h[1], F.shiftrightunsigned(h[1], 32))]
+    groups = shared.groupBy("key").agg(F.count("*").alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    keys = written(groups.groupBy("n", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    remove(met)
+    return shared, keys
+
+
+def _near(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Per row: doc_id, fp, component_id, as a written table; docs: ``doc_id`` and ``text``."""
+    prints = written(sketches(docs, shingle, similarity), "prints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), F.min("parities").alias("parities"), F.min("pivots").alias("pivots")), "classes")
+    shared, keys = shared_keys(prints.select(F.explode("prefix").alias("key"), F.col("fp").alias("id")))
+    cells = dealt(shared, keys, BUCKET)
+    full = cells.join(classes.select(F.col("fp").alias("id"), "size", "parities", "pivots"), "id").select("key", "lo", "hi", "id", "size", "parities", "pivots")
     apart = (1 - similarity) / (1 + similarity)  # most of the symmetric difference of alike sets, as a share of both sizes
 
     def run(batches):
-        for table in whole_cells(batches, 6):
+        for table in whole_cells(batches, 7):
             cell, fp, size = cell_numbers(table), table.column("id").to_numpy(), table.column("size").to_numpy()
-            bits = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(len(fp), -1)
-            order = np.lexsort((size, cell))
-            cell, fp, size, bits = (x[order] for x in (cell, fp, size, bits))
-
-            def alike(i, j, size=size, bits=bits):
-                return np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int32) <= apart * (size[i] + size[j]) + 1e-6
+            order = np.lexsort((fp, size, cell))
+            order = order[np.append(True, (cell[order][1:] != cell[order][:-1]) | (fp[order][1:] != fp[order][:-1]))]  # a class comes from each task that met it
+            bits, far = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(fp), -1)[order] for c, kind in (("parities", np.uint64), ("pivots", "<i2")))
+            cell, fp, size = (x[order] for x in (cell, fp, size))
+
+            def alike(i, j, size=size, bits=bits, far=far):
+                most = apart * (size[i] + size[j]) + 1e-6
+                good = np.flatnonzero(np.abs(far[i] - far[j]).max(1) <= most)
+                out = np.zeros(len(i), bool)
+                out[good] = np.bitwise_count(bits[i[good]] ^ bits[j[good]]).sum(1, dtype=np.int32) <= most[good]
+                return out
 
             node, root = candidates(cell, size, similarity, alike)
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
-    found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(trimmed(run), "a long, b long").distinct()
-    near = written(components(found), "candidates")
-    of = near.select("u").union(near.select("v")).distinct()
-    sets = prints.select("fp", "set").join(of.withColumnRenamed("u", "fp"), "fp", "left_semi").groupBy("fp").agg(F.min("set").alias("set"))
-    return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), components(verified(near, sets, similarity)))
+    near = components(by_cell(full).mapInArrow(trimmed(run), "a long, b long").distinct())
+    remove(shared, keys)
+    of = written(near.select("u").union(near.select("v")).distinct().withColumnRenamed("u", "fp"), "of")
+    texts = written(packed_classes(docs).join(of, "fp").groupBy("fp").agg(F.min("z").alias("z")), "texts")
+    star = components(verified(near, texts, shingle, similarity))
+    out = written(_least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), star), "near")
+    remove(prints, classes, near, of, texts, star)
+    return out
