@@ -7,17 +7,20 @@ through it can reach. Contexts that occur twice are repeats as they are and coun
 
 The others are dealt by anchor value, and there a suffix array is built whose entries are the anchors: sorted by what
 follows, with the common prefixes of neighbours. A stack scan yields its interval tree. In each interval of common
-prefix d the entries' left extensions are compared: entries that differ there make a maximal repeat, which reaches
-from an entry's longest shared left extension to d bytes on, and every occurrence whose repeat has ``length`` bytes or
-more is output. An anchor value with over ``GROUP`` contexts is dealt into chunks, and every two chunks meet in a
-task of their own, so nothing is capped and no task holds an unbounded group.
+prefix d the entries' left extensions are ordered, and their interval tree is scanned likewise: an interval of shared
+left extension r whose entries go on in different ways on either side is a maximal repeat of r + d bytes, and all its
+entries are its occurrences. ``groups`` returns those of ``length`` bytes or more with every occurrence, and the bytes
+to remove are read from the same rows. An anchor value with over ``GROUP`` contexts is dealt into chunks, and every two
+chunks meet in a task of their own; joins on an anchor value have a written table on their small side, so that
+adaptive execution splits a frequent one. So nothing is capped and no task holds an unbounded group.
 
 Where repeats of ``words`` words are asked for too, the windows of so many words that are shorter than ``length`` bytes
 are counted by 128 bits of hash, all bytes from the first word to the last; longer ones hold strings of ``length`` bytes.
 
-Texts cross the shuffle zstd-compressed. Null texts are empty; texts shorter than ``length`` keep everything; ties,
+Texts are compressed once, into the shared folder. Null texts are empty; texts shorter than ``length`` keep everything; ties,
 repeated rows and rows with equal or null ids are documents of their own, so each counts as the other's repeat. Very
-long texts are searched piece by piece; an anchor that two pieces find counts once. Empty tables give empty results; other columns are not looked at.
+long texts are searched piece by piece; an anchor that two pieces find counts once. Empty tables give empty results;
+other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import trimmed, written
-from loglens.llm.simhash import mix, whole_cells
+from loglens.llm.common import remove, trimmed, written
+from loglens.llm.simhash import by_cell, mix, whole_cells
 
 GROUP = 20_000
 PIECE = 1 << 19
@@ -135,7 +138,7 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
                     names=["id", "text", "pos", "bytes", "v", "t"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, text long, pos int, bytes int, v long, t long")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), f"id {kind}, text long, pos int, bytes int, v long, t long")
 
 
 def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -168,15 +171,15 @@ def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), pa.array(again, pa.bool_())], names=["id", "text", "start", "end", "k1", "k2", "one", "again"])
 
-    found = written(docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, text long, start int, end int, k1 long, k2 long, one int, again boolean"), "windows")
-    shared = found.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2")
+    found = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), f"id {kind}, text long, start int, end int, k1 long, k2 long, one int, again boolean"), "windows")
+    shared = written(found.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2"), "values")
     return found.join(shared, ["k1", "k2"]).select("id", "text", "start", "end")
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
-    """id, text hash, the zstd-compressed text, and the columns to carry as a struct ``row``."""
+    """id, text hash, the zstd-compressed text, and the columns to carry as a struct ``row`` (true without any)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rest = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(F.lit(True).alias("_"), *carry).alias("row"))
+    rest = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"), (F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(True)).alias("row"))
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -210,8 +213,8 @@ def intervals(lcp: list[int], least: int):
             stack.append((now, low))
 
 
-def maximal(left: list[bytes], right: list[bytes], wanted: list[bool], length: int, size: int):
-    """(entry, bytes to its left, bytes from it on) of every repeat of at least ``length`` bytes at a wanted entry.
+def maximal(left: list[bytes], right: list[bytes], length: int, size: int):
+    """(bytes to the left, bytes from the anchor on, entries) of every maximal repeat of at least ``length`` bytes.
 
     left holds what precedes each entry, last byte first; right holds what follows.
     """
@@ -221,37 +224,43 @@ def maximal(left: list[bytes], right: list[bytes], wanted: list[bool], length: i
         rank[i] = k
     lcp = [0, *(common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False))]
     for depth, low, high in intervals(lcp, size):
-        members = sorted(order[low : high + 1], key=rank.__getitem__)
-        shared = [0, *(common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)), 0]
-        for k, i in enumerate(members):
-            reach = max(shared[k], shared[k + 1])
-            if wanted[i] and reach + depth >= length:
-                yield i, reach, depth
-
-
-def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
-    """``id``, ``text`` (a hash of the text) and ``spans``: start and end byte of repeated passages, which may overlap.
-
-    Passages count from ``length`` bytes on and, where ``words`` is given, from so many words on too.
+        part, n = {}, 0  # by entry, the stretch of the interval between places of common prefix depth that it is in
+        for k in range(low, high + 1):
+            n += k > low and lcp[k] == depth
+            part[order[k]] = n
+        members = sorted(part, key=rank.__getitem__)
+        shared = [0, *(common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False))]
+        for reach, a, b in [(0, 0, len(members) - 1), *intervals(shared, 1)]:
+            if reach + depth >= length and (reach or min(shared[1:]) == 0):
+                found = members[a : b + 1]
+                if any(part[i] != part[found[0]] for i in found):
+                    yield reach, depth, found
+
+
+def occurrences(docs: DataFrame, length: int, id_col: str, text_col: str, z: DataFrame, every: bool = False) -> DataFrame:
+    """``group`` (a hash of the repeated bytes), ``id``, ``text`` (a hash of the text), ``start``, ``end`` of repeats.
+
+    z: what ``packed`` returns, written. every: with the entries that stand for several equal contexts, for each of
+    those; without, as their whole contexts are repeats, they are not listed again under the repeats within.
     """
     size = length // 2
     found = written(anchors(docs, length, id_col, text_col), "anchors")
-    shared = found.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    hits = written(found.join(shared, "v"), "shared")
+    shared = written(found.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "values")
+    hits = written(found.join(shared, "v").repartition("id", "text", "pos"), "shared")  # else a frequent value lies in few files, and reading them again can't split it
+    remove(found, shared)
     kinds = hits.groupBy("v", "t").agg(F.count("*").alias("n"), F.min(F.struct("id", "text", "pos")).alias("first"))
     kinds = written(kinds, "contexts")
     start, end = F.greatest(F.lit(0), F.col("pos") + (size - length)), F.least(F.col("bytes"), F.col("pos") + length)
-    whole = hits.join(kinds.filter("n > 1").select("v", "t"), ["v", "t"]).select("id", "text", start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-    single = kinds.filter("n = 1").select("v").distinct()
-    entries = kinds.join(single, "v", "left_semi")
-    many = entries.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("chunks")).filter("chunks > 1")
-    dealt = entries.join(many, "v", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    asked = dealt.select("first.*", "v", "chunks", (F.col("n") == 1).alias("single")).groupBy("id", "text").agg(F.collect_list(F.struct("pos", "v", "chunks", "single")).alias("at"))
-    z = packed(docs, id_col, text_col)
-    both = z.join(asked.withColumnRenamed("id", "id2").withColumnRenamed("text", "text2"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2"))).select("id", "text", "z", "at")
+    twice = written(kinds.filter("n > 1").select("v", "t"), "twice")
+    whole = hits.join(twice, ["v", "t"]).select(F.xxhash64("v", "t").alias("group"), "id", "text", start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    single = written(kinds.groupBy("v").agg(F.count_if(F.col("n") == 1).alias("single"), F.ceil(F.count("*") / GROUP).cast("long").alias("chunks")).filter("single > 0").select("v", "chunks"), "values")
+    entries = kinds.join(single, "v")
+    asked = entries.select("first.*", "v", "t", "chunks", (F.col("n") == 1).alias("single")).groupBy("id", "text").agg(F.collect_list(F.struct("pos", "v", "t", "chunks", "single")).alias("at"))
+    asked = written(asked.withColumnRenamed("id", "id2").withColumnRenamed("text", "text2"), "asked")
+    both = z.join(asked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2"))).select("id", "text", "z", "at")
     kind = docs.schema[id_col].dataType.simpleString()
-    context = f"v long, lo long, hi long, id {kind}, text long, pos int, single boolean, left binary, right binary"
+    names = ["v", "lo", "hi", "id", "text", "pos", "t", "single", "left", "right"]
 
     def cut(batches):
         opened = zstandard.ZstdDecompressor()
@@ -263,35 +272,62 @@ def spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
                     p, chunks = x["pos"], x["chunks"]
                     mine = hash((text, p)) % chunks
                     left, right = data[max(0, p + size - length) : p][::-1], data[p : p + length]
-                    out += [(x["v"], min(mine, o), max(mine, o), id, text, p, x["single"], left, right) for o in range(chunks)]
+                    out += [(x["v"], min(mine, o), max(mine, o), id, text, p, x["t"], x["single"], left, right) for o in range(chunks)]
                 if len(out) > 4_000:
                     yield _contexts(out, batch)
                     out = []
             yield _contexts(out, batch)
 
     def _contexts(out, batch):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["v", "lo", "hi", "id", "text", "pos", "single", "left", "right"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     def scan(batches):
-        for table in whole_cells(batches, 9):
-            v, lo, hi, ids, texts, pos, wanted, left, right = (table.column(i).to_pylist() for i in range(9))
-            out, a = [], 0
+        for table in whole_cells(batches, len(names)):
+            v, lo, hi, ids, texts, pos, t, single, left, right = (table.column(i).to_pylist() for i in range(len(names)))
+            group, at, reach, depth, a = [], [], [], [], 0
             for b in range(1, len(v) + 1):
                 if b == len(v) or (v[b], lo[b], hi[b]) != (v[a], lo[a], hi[a]):
                     if b - a > 1:
-                        out += [(a + i, p, q) for i, p, q in maximal(left[a:b], right[a:b], wanted[a:b], length, size)]
+                        for p, q, members in maximal(left[a:b], right[a:b], length, size):
+                            i = a + members[0]
+                            name = xxhash.xxh64_intdigest(left[i][:p][::-1] + right[i][:q], 3)
+                            some = [a + i for i in members if every or single[a + i]]
+                            at += some
+                            group += [name] * len(some)
+                            reach += [p] * len(some)
+                            depth += [q] * len(some)
                     a = b
+            place = np.array([pos[i] for i in at], np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i, _, _ in out], table.schema.field(3).type), pa.array([texts[i] for i, _, _ in out], pa.int64()), pa.array([pos[i] - p for i, p, _ in out], pa.int32()), pa.array([pos[i] + q for i, _, q in out], pa.int32())],
-                names=["id", "text", "start", "end"],
+                [pa.array(np.array(group, np.uint64).view(np.int64)), pa.array([ids[i] for i in at], table.schema.field(3).type), pa.array([texts[i] for i in at], pa.int64()), pa.array(place - np.array(reach, np.int32)), pa.array(place + np.array(depth, np.int32)), *([pa.array([v[i] for i in at], pa.int64()), pa.array([t[i] for i in at], pa.int64()), pa.array(place)] if every else [])],
+                names=["group", "id", "text", "start", "end", *(["v", "t", "pos"] if every else [])],
             )
 
-    cells = both.mapInArrow(trimmed(cut), context).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
-    parts = cells.mapInArrow(trimmed(scan), f"id {kind}, text long, start int, end int")
+    cells = by_cell(both.mapInArrow(trimmed(cut), f"v long, lo long, hi long, id {kind}, text long, pos int, t long, single boolean, left binary, right binary"), "v")
+    schema = f"group long, id {kind}, text long, start int, end int"
+    parts = cells.mapInArrow(trimmed(scan), schema + (", v long, t long, pos int" if every else ""))
+    if every:  # each of the equal contexts is an occurrence, where it stands
+        parts = parts.distinct().withColumnsRenamed({"id": "_id", "text": "_text"}).withColumnsRenamed({"pos": "_pos"}).join(hits.select("v", "t", "id", "text", "pos"), ["v", "t"])
+        parts = parts.select("group", "id", "text", (F.col("start") - F.col("_pos") + F.col("pos")).alias("start"), (F.col("end") - F.col("_pos") + F.col("pos")).alias("end"))
+    return whole.unionByName(parts)
+
+
+def groups(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of ``length`` bytes or more as far as their anchors' contexts reach: ``group`` (a hash of the bytes), id, ``text`` (a hash of the text), ``start`` and ``end`` of every occurrence."""
+    return occurrences(docs, length, id_col, text_col, written(packed(docs, id_col, text_col), "texts"), every=True).distinct().withColumnRenamed("id", id_col)
+
+
+def spans(docs: DataFrame, length: int, id_col: str, text_col: str, z: DataFrame, words: int | None = None) -> DataFrame:
+    """``id``, ``text`` (a hash of the text) and ``spans``: start and end byte of repeated passages, which may overlap; at most one for each place where one starts.
+
+    Passages count from ``length`` bytes on and, where ``words`` is given, from so many words on too. z: see occurrences.
+    """
+    found = occurrences(docs, length, id_col, text_col, z).drop("group")
     if words:
-        parts = parts.unionByName(word_repeats(docs, words, length, id_col, text_col))
-    return whole.unionByName(parts).distinct().groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        found = found.unionByName(word_repeats(docs, words, length, id_col, text_col))
+    longest = found.groupBy("id", "text", "start").agg(F.max("end").alias("end"))
+    return longest.groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def joined_spans(found) -> list[tuple[int, int]]:
@@ -313,8 +349,8 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), words: int | None = None) -> DataFrame:
     """Every row's ``id``, compressed text ``z``, ``spans`` (null where nothing repeats) and carried columns ``row``."""
-    found = spans(docs, length, id_col, text_col, words).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
-    z = packed(docs, id_col, text_col, carry)
+    z = written(packed(docs, id_col, text_col, carry), "texts")
+    found = spans(docs, length, id_col, text_col, z, words).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
     return z.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2")), "left").select("id", "z", "spans", "row")
 
 
@@ -352,4 +388,4 @@ def kept_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], names=["id", "kept", "row"])
 
     kept = found.mapInArrow(trimmed(run), f"id {docs.schema[id_col].dataType.simpleString()}, kept string, row {row}")
-    return kept.select(*[F.col("id").alias(c) if c == id_col else F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.col("id").alias(c) if c == id_col else F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

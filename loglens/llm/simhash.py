@@ -183,8 +183,8 @@ def in_cells(rows: DataFrame, most: int | None = None) -> DataFrame:
     return dealt(rows, sizes, most or BUCKET)
 
 
-def by_cell(cells: DataFrame) -> DataFrame:
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+def by_cell(cells: DataFrame, key: str = "key") -> DataFrame:
+    return cells.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
 def whole_cells(batches, columns: int):
@@ -472,7 +472,7 @@ def candidates(cell: np.ndarray, size: np.ndarray, similarity: float, alike) ->
 def shared_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (``key``, ``id``) of keys that occur twice, and ``key``, ``n`` of the least of all keys that one set of ids shares: the pairs of the others are its pairs."""
     met = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "met")
-    shared = written(rows.join(met, "key"), "shared")
+    shared = written(rows.join(met, "key").repartition("id", "key"), "shared")  # else a frequent key lies in few files, and reading them again can't split it
     h, part = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))], F.lit((1 << 30) - 1)
     sums = [F.sum(x.bitwiseAND(part)) for x in (h[0], F.shiftrightunsigned(h[0], 32), h[1], F.shiftrightunsigned(h[1], 32))]
     groups = shared.groupBy("key").agg(F.count("*").alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(sums)])

@@ -50,6 +50,58 @@ def test_against_brute_force(spark, monkeypatch, seed, group, piece):
     check(rows, repeats.digests(spark.createDataFrame(rows, "doc_id long, text string, z string"), length=12).collect(), 12)
 
 
+def test_maximal_groups_against_brute_force():
+    """Every set of entries that share a string through the anchor, longest on both sides, comes once with all its entries."""
+    r = np.random.default_rng(11)
+    for _ in range(150):
+        n, size = int(r.integers(2, 9)), 2
+        word = lambda: bytes(r.integers(97, 99, int(r.integers(2, 6)), np.uint8))
+        head = b"ab"
+        left, right = [word() for _ in range(n)], [head + word() for _ in range(n)]
+        want = {}
+        for p in range(6):
+            for q in range(size, 8):
+                if p + q >= 4:
+                    by = {}
+                    for i in range(n):
+                        if len(left[i]) >= p and len(right[i]) >= q:
+                            by.setdefault((left[i][:p], right[i][:q]), []).append(i)
+                    for members in by.values():
+                        if len(members) > 1:
+                            want[tuple(members)] = max(want.get(tuple(members), (0, 0)), (p, q), key=sum)
+        got = [(tuple(sorted(m)), (p, q)) for p, q, m in repeats.maximal(left, right, 4, size)]
+        assert sorted(got) == sorted(want.items())
+
+
+def test_groups_have_every_occurrence(spark):
+    r = np.random.default_rng(12)
+    word = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    once, often = word(12), word(12)
+    rows = [(1, word(9) + once + word(7)), (2, once + word(20)), (3, word(5) + often), (3, word(5) + often), (4, "x" + often + "y"), (None, often), (5, word(200)), (6, None)]
+    found = repeats.groups(spark.createDataFrame(rows, "doc_id long, text string"), length=12).collect()
+    data = [(t or "").encode() for _, t in rows]
+    by = {}
+    for x in found:
+        text = next(d for (i, _), d in zip(rows, data, strict=True) if i == x.doc_id and repeats.xxhash.xxh64_intdigest(d, 42) == x.text & (2**64 - 1))
+        by.setdefault(x.group, {}).setdefault(text[x.start : x.end], set()).add((x.doc_id, x.text, x.start))
+    assert all(len(strings) == 1 for strings in by.values())
+    # Strings of the least length are in the contexts of their anchors as a whole.
+    all_of = {}
+    for strings in by.values():
+        for s, places in strings.items():
+            all_of.setdefault(s, set()).update(places)
+    assert {i for i, _, _ in all_of[often.encode()]} == {3, 4, None} and len(all_of[often.encode()]) == 4
+    assert {i for i, _, _ in all_of[once.encode()]} == {1, 2}
+
+
+def test_clashing_names(spark):
+    rows = [(i, "the same passage in each row", "u", i, "r") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_` string, z long, `row` string")
+    got = repeats.kept_texts(docs, 12)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(i, "", "u", i, "r") for i in range(3)}
+    assert repeats.kept_texts(docs.select("doc_id", "text"), 12).count() == 3
+
+
 def test_empty_table(spark):
     assert repeats.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
