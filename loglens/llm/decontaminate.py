@@ -1,17 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased, and all that is no letter, digit or character beyond ASCII becomes one space.
-An item of m bytes may differ in k = floor(m * rate) edits; cut into k + 1 pieces, one of them must stand in any
-such copy unchanged. One automaton finds the pieces of all items in a pass over a text. Every hit proposes where the
-item would start; proposals within k of one another are one window, and Myers' bit-parallel distance over the window
-decides. Items beyond ``WINDOW`` bytes are searched as windows of half that, every quarter, so that long passages of
-them are found as well.
-
-The items are gathered in blocks of at most ``BLOCK_BYTES`` (one block for any usual benchmark, more passes over the
-documents beyond it). Null and empty texts match nothing; null ids are kept; items below ``LEAST`` bytes can't be
-told from ordinary phrases and are not searched. Each row is searched by itself, so ties and repeated rows give a row
-each and very long texts need memory for themselves alone. Empty tables give an empty result; columns other than the
-ids and texts are not looked at.
+An item of m bytes counts as held, whatever its length, where all of it stands between word boundaries but for
+k = floor(m * rate) edits; items so short that k is 0 must stand exactly. Boundaries are spaces around item and text.
+Cut into k + 1 pieces, one of them must stand in any such copy unchanged. One automaton finds the pieces of all items in
+a pass over a text. Every hit proposes where the item would start; proposals within k of one another are one window, and
+Myers' bit-parallel distance over the window decides.
+
+The items are gathered in blocks of about ``BLOCK_BYTES`` (one block for any usual benchmark); beyond one, each block's
+result is written to the shared folder and its broadcast taken back before the next. Null and empty texts, and items
+without a letter or digit, match nothing; null ids are kept. Each row is searched by itself, so ties and repeated rows
+give a row each and very long texts need memory for themselves alone. Empty tables give an empty result; columns other
+than the ids and texts are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import trimmed
+from pyspark.sql.pandas.types import to_arrow_type
 
-RATE, LEAST, WINDOW, BLOCK_BYTES = 0.06, 24, 512, 8 << 20
+from loglens.llm.common import trimmed, written
+
+RATE, BLOCK_BYTES = 0.06, 8 << 20
 _KEPT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -34,17 +36,19 @@ def plain(text: str | None) -> str:
     return b" ".join((text or "").lower().encode().translate(_KEPT).split()).decode("latin-1")
 
 
-def windows(item: str, most: int = WINDOW) -> list[str]:
-    if len(item) <= most:
-        return [item]
-    half, step = most // 2, most // 4
-    starts = [*range(0, len(item) - half, step), len(item) - half]
-    return [item[a : a + half] for a in starts]
+def bounded(text: str) -> str:
+    """A text as compared, or an item, with a word boundary on either side."""
+    return f" {text} "
+
+
+def edits(item: str, rate: float = RATE) -> int:
+    """Edits that a copy of an item (as compared) may have."""
+    return int(len(item) * rate)
 
 
-def pieces(pattern: str, rate: float = RATE) -> list[tuple[int, str]]:
+def pieces(pattern: str, allowed: int) -> list[tuple[int, str]]:
     """The pattern cut into one piece more than it may have edits, with each piece's place."""
-    n = int(len(pattern) * rate) + 1
+    n = allowed + 1
     cuts = [len(pattern) * i // n for i in range(n + 1)]
     return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -75,16 +79,17 @@ def myers(pattern: str, text: str) -> list[int]:
 
 
 class Searcher:
-    """All windows of some items: (item id, text) pairs."""
+    """All of some items: (item id, text) pairs."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE, least: int = LEAST):
+    def __init__(self, items: list[tuple], rate: float = RATE):
         self.patterns: list[tuple] = []  # item id, pattern, edits
         found: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            for pattern in windows(plain(text)) if len(plain(text)) >= least else []:
-                for at, piece in pieces(pattern, rate):
+            if compared := plain(text):
+                pattern, allowed = bounded(compared), edits(compared, rate)
+                for at, piece in pieces(pattern, allowed):
                     found.setdefault(piece, []).append((len(self.patterns), at))
-                self.patterns.append((item, pattern, int(len(pattern) * rate)))
+                self.patterns.append((item, pattern, allowed))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -95,32 +100,33 @@ class Searcher:
         """(item id, end in the text as compared, distance), the best of every window that holds a match."""
         if not self.patterns or not text:
             return
+        size, text = len(text), bounded(text)
         starts: dict[int, set[int]] = {}
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (long, where) in self.automaton.iter(text):
             for k, at in where:
-                starts.setdefault(k, set()).add(end + 1 - size - at)
+                starts.setdefault(k, set()).add(end + 1 - long - at)
         for k, proposed in starts.items():
-            item, pattern, edits = self.patterns[k]
+            item, pattern, allowed = self.patterns[k]
             order = sorted(proposed)
             first = 0
             for i in range(1, len(order) + 1):
-                if i == len(order) or order[i] - order[i - 1] > edits:
-                    low = max(0, order[first] - edits)
-                    scores = myers(pattern, text[low : order[i - 1] + len(pattern) + edits])
+                if i == len(order) or order[i] - order[i - 1] > allowed:
+                    low = max(0, order[first] - allowed)
+                    scores = myers(pattern, text[low : order[i - 1] + len(pattern) + allowed])
                     best = min(scores, default=math.inf)
-                    if best <= edits:
-                        yield item, low + scores.index(best) + 1, best
+                    if best <= allowed:
+                        yield item, min(size, low + scores.index(best)), best
                     first = i
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str):
-    """Broadcast lists of (item id, text), each of at most about BLOCK_BYTES."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    """Broadcast lists of (item id, text), each of at most about BLOCK_BYTES, and whether it is the last."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part])
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part]), b == n - 1
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -135,8 +141,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: s
 
         return docs.mapInArrow(trimmed(run), docs.schema)
 
-    for held in _blocks(benchmark, item_col, item_text):
+    blocks = _blocks(benchmark, item_col, item_text)
+    for held, last in blocks:
         docs = one(docs, held)
+        if not last:
+            docs = written(docs, "clean")
+            held.destroy()
     return docs
 
 
@@ -160,11 +170,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: s
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], held_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "item_id", "hits", "distance", "end"]
                 )
 
-        return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"doc_id {kind}, item_id {item_kind}, hits long, distance long, end long")
+        return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), f"doc_id {kind}, item_id {item_kind}, hits long, distance long, end long")
 
-    held_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    held_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for held in _blocks(benchmark, item_col, item_text):
+    for held, last in _blocks(benchmark, item_col, item_text):
         found = one(held)
+        if not last:
+            found = written(found, "matches")
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     return out
