@@ -15,6 +15,7 @@ ties and repeated rows give a row each; an empty table gives none; other columns
 from __future__ import annotations
 
 import random
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -67,7 +68,7 @@ def features(found: list[Node]) -> np.ndarray:
     whole = max(1, sum(t for t, p in zip(text, parent, strict=True) if p < 0))
     depth, good_up, bad_up = [0] * size, [0] * size, [0] * size
     out = np.zeros((size, len(TAGS) + 27), np.float32)
-    before = 0
+    before, tags_of = 0, {}
     for i, n in enumerate(found):
         p = parent[i]
         good = sum(t in GOOD for t in n.tokens) + (n.tag in _GOOD_TAGS)
@@ -82,11 +83,13 @@ def features(found: list[Node]) -> np.ndarray:
         if p >= 0 and found[p].tag in _TAG_AT:
             row[len(TAGS)] = _TAG_AT[found[p].tag] + 1
         siblings = n.parent.children
+        if (same := tags_of.get(id(n.parent))) is None:
+            same = tags_of[id(n.parent)] = Counter(s.tag for s in siblings)
         up_text = text[p] if p >= 0 else whole
         row[len(TAGS) + 1 :] = (
             good, bad, good_up[i], bad_up[i], good_up[i] - bad_up[i], depth[i], text[i], text[i] / whole, text[i] / max(1, up_text),
             density, text[i] / (tags[i] + 1), runs[i], text[i] / max(1, runs[i]), words[i], stops[i] / max(1, words[i]), paragraphs[i],
-            len(siblings), sum(s.tag == n.tag for s in siblings) / len(siblings) if len(siblings) < 200 else 1.0, (links[p] / max(1, text[p])) if p >= 0 else 0.0, tags[i], before / whole,
+            len(siblings), same[n.tag] / len(siblings), (links[p] / max(1, text[p])) if p >= 0 else 0.0, tags[i], before / whole,
             (text[p] / (tags[p] + 1)) if p >= 0 else 0.0, (paragraphs[p] if p >= 0 else 0), bad_up[p] if p >= 0 else 0, good_up[p] if p >= 0 else 0, len(found),
         )
         if n.tag == "#run":
