@@ -1,33 +1,38 @@
 """SpotSigs fingerprints.
 
-After every occurrence of a common word (an anchor) the next two content words, anchors skipped, form a chain; a
-text's fingerprint is the set of its chains' hashes, written as sorted hexadecimal. Texts with fewer than ``FEW``
-chains, in other languages or of few words, take every word as an anchor; texts without words have one signature of
-their bytes, and null and empty texts an empty fingerprint. Likeness is the Jaccard similarity of the sets, cut short
-where set lengths or the rest that is left to compare can't reach a wanted threshold (two empty sets are alike).
+After every anchor the next two content words form a chain; a text's fingerprint is the set of its chains' 64-bit
+hashes, written as sorted hexadecimal. Anchors are the common words of four languages, which are no content; the start
+of a text; and, so that texts in any language have some, one content word in ``SOME`` by its hash. The rule is the same
+for texts of every length. Texts without content words have one signature of their bytes, and null and empty texts an
+empty fingerprint. Likeness is the Jaccard similarity of the sets, cut short where set lengths or the rest that is left
+to compare can't reach a wanted threshold (two empty sets are alike).
 
 ``near_duplicates`` compares in partitions of set lengths: a set of n meets sets of its own and the next longer
 partition alone, on a shared signature of the few least ones that sets alike enough must share.
 
 Rows with equal or null ids are documents of their own, nulls first and equal ids in the order of their packed
-texts. Very long texts need memory for themselves and their neighbour. Empty tables give empty results; columns other
-than the id and the text are not looked at.
+texts; they share a range of documents. Ids have to be integers (``compared`` raises a TypeError for others). Ranges
+hold some ``RANGE_BYTES`` of text each. Very long texts need memory for themselves and their neighbour. Empty tables
+give empty results; columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from zlib import crc32
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loglens.llm.common import trimmed, written
 from loglens.llm.components import components
 from loglens.llm.licenses import words
-from loglens.llm.simhash import _least_of, cell_numbers, forest, in_cells, whole_cells
+from loglens.llm.simhash import _least_of, by_cell, cell_numbers, forest, in_cells, whole_cells
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -36,31 +41,32 @@ ANCHORS = frozenset(
     "le la les un une et est de du des que qui dans pour sur avec pas par au "
     "el los las y es una en del con por para se no lo su".encode().split()
 )
-CHAIN, FEW = 2, 4
+CHAIN, SOME = 2, 8
+RANGE_BYTES, SPREAD = 32 << 20, 16
 
 
 def signatures(text: bytes) -> list[int]:
     """The sorted set of a text's spot signatures."""
-    found = words(text)
-    at = [i for i, w in enumerate(found) if w not in ANCHORS]
-    content = [found[i] for i in at] + [b""] * CHAIN
+    f, found = xxhash.xxh64_intdigest, words(text)
+    content = [w for w in found if w not in ANCHORS]
     out, k = set(), 0
-    for i, w in enumerate(found):
-        if w in ANCHORS:
-            if content[k]:
-                out.add(crc32(b"%b:%b:%b" % (w, content[k], content[k + 1])))
-        else:
-            k += 1
-    if len(out) < FEW and found:
-        padded = [*found, b"", b""]
-        out = {crc32(b"*%b:%b:%b" % x) for x in zip(found, padded[1:], padded[2:], strict=False)}
-    if not out and text:
-        out = {crc32(text)}
+    if content:
+        padded = [*content, *[b""] * CHAIN]
+        out.add(f(b":%b:%b" % (padded[0], padded[1])))
+        for w in found:
+            if w not in ANCHORS:
+                k += 1
+                if f(w) % SOME:
+                    continue
+            if padded[k]:
+                out.add(f(b"%b:%b:%b" % (w, padded[k], padded[k + 1])))
+    elif text:
+        out.add(f(text, 1))
     return sorted(out)
 
 
 def fingerprint(found: list[int]) -> str:
-    return np.array(found, ">u4").tobytes().hex()
+    return np.array(found, ">u8").tobytes().hex()
 
 
 def jaccard(a: list[int], b: list[int], least: float = 0.0) -> float:
@@ -88,17 +94,21 @@ def jaccard(a: list[int], b: list[int], least: float = 0.0) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ranges of documents in order: bucket, ``extra``, id and packed text. A bucket's last document finds the one after it as an extra row.
 
     Buckets start at ids that occur, so the first document of each bucket is known and goes to the one before too.
     """
-    spark = docs.sparkSession
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    quantiles = ids.filter("id is not null").approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
-    low, nulls = ids.agg(F.min("id"), F.count_if(F.col("id").isNull())).first()
-    bounds = np.array(sorted({int(q) for q in quantiles if q != low}), np.int64)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"documents are compared in the order of integer ids; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.octet_length(F.col(f"`{text_col}`")).alias("n"))
+    low, nulls, size, many = ids.agg(F.min("id"), F.count_if(F.col("id").isNull()), F.sum("n"), F.count("*")).first()
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / RANGE_BYTES))
+    # Of some SPREAD ids for each range, picked by their hash, every SPREAD-th is a bound: each is an id of a document, however large.
+    part = min(1.0, SPREAD * wanted / max(1, many))
+    picked = ids.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(part * (1 << 40))) & F.col("id").isNotNull()).select("id").distinct()
+    found = sorted(r[0] for r in picked.collect() if r[0] != low)
+    bounds = np.array(found[max(1, len(found) // wanted) - 1 :: max(1, len(found) // wanted)][: wanted - 1], np.int64)
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -116,8 +126,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
                     rows = np.arange(len(id))[which]
                     yield pa.RecordBatch.from_arrays([pa.array(to[rows].astype(np.int64)), pa.array(np.full(len(rows), extra, np.int32)), part.take(pa.array(rows)), z.take(pa.array(rows))], names=["bucket", "extra", "id", "z"])
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "bucket long, extra int, id long, z binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "id", "z"), len(bounds)
+    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), "bucket long, extra int, id long, z binary")
+    return dealt.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "extra", "id", "z")
 
 
 def edited(text: str, following: str) -> str:
@@ -128,7 +138,7 @@ def edited(text: str, following: str) -> str:
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    dealt, _ = with_next(docs, id_col, text_col)
+    dealt = with_next(docs, id_col, text_col)
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -142,10 +152,16 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         opened = zstandard.ZstdDecompressor()
         held, at, out, size = None, None, [], 0
+
+        def ended():
+            if held is not None:
+                raise RuntimeError(f"document {held[0]} has no next one")
+
         for batch in batches:
             for bucket, extra, id, z in zip(*batch.columns, strict=True):
                 bucket, extra = bucket.as_py(), extra.as_py()
                 if bucket != at:
+                    ended()
                     held, at = None, bucket
                 if extra and held is None:
                     continue  # the first of the following documents has served already
@@ -161,8 +177,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                 out, size = [], 0
+        ended()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def partitions(longest: int, least: float) -> list[int]:
@@ -180,31 +197,31 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     def mark(batches):
         for batch in batches:
             found = [signatures(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, "<u4").tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, "<u8").tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
 
-    prints = docs.select(id_col, text_col).mapInArrow(mark, f"doc_id {kind}, s binary").withColumn("fp", F.xxhash64("s"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("s").alias("s"))
+    prints = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(mark), f"doc_id {kind}, s binary").withColumn("fp", F.xxhash64("s")), "prints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("s").alias("s")), "classes")
 
     def deal(batches):
         for batch in batches:
             at, keys = [], []
             for i, s in enumerate(batch.column(1)):
-                own = np.frombuffer(s.as_py(), "<u4")
+                own = np.frombuffer(s.as_py(), "<u8")
                 starts = partitions(len(own), least)
                 part = int(np.searchsorted(starts, len(own), "right")) - 1
-                rarest = mix32(own)[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
-                mine = [p << 32 | int(x) for x in rarest for p in (part, part + 1)]
+                rarest = own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                mine = [xxhash.xxh64_intdigest(b"%d:%d" % (p, x)) for x in rarest.tolist() for p in (part, part + 1)]
                 at += [i] * len(mine)
                 keys += mine
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(0).take(pa.array(at, pa.int64()))], names=["key", "id"])
 
-    rows = classes.select("fp", "s").mapInArrow(deal, "key long, id long")
+    rows = classes.select("fp", "s").mapInArrow(trimmed(deal), "key long, id long")
     full = in_cells(rows).join(classes.select(F.col("fp").alias("id"), "s"), "id").select("key", "lo", "hi", "id", "s")
 
     def compare(batches):
         for table in whole_cells(batches, 5):
             cell, fp = cell_numbers(table), table.column("id").to_numpy()
-            sets = [np.frombuffer(x.as_py(), "<u4").tolist() for x in table.column("s")]
+            sets = [np.frombuffer(x.as_py(), "<u8").tolist() for x in table.column("s")]
             order = sorted(range(len(fp)), key=lambda i: (cell[i], len(sets[i])))
             left, right = [], []
             for x in range(len(order)):
@@ -218,11 +235,6 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
             node, root = forest(np.array(left, np.int64), np.array(right, np.int64), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(fp[node]), pa.array(fp[root])], names=["a", "b"])
 
-    found = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
+    found = by_cell(full).mapInArrow(trimmed(compare), "a long, b long").distinct()
     return _least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), components(found))
 
-
-def mix32(found: np.ndarray) -> np.ndarray:
-    """Signatures in an order of their own that all sets share."""
-    with np.errstate(over="ignore"):
-        return found[np.argsort(found * np.uint32(2654435761), kind="stable")]

@@ -33,6 +33,45 @@ def test_edges(spark):
     assert got(spotsigs.compared(one)) == brute([(1, "the only text")])
 
 
+def test_large_ids_and_many_ranges(spark, monkeypatch):
+    """Ids that doubles can't hold, and ranges of a few documents each."""
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 60)
+    rows = [((1 << 60) + 3 * i, f"the text of {'x' * (i % 9)} number {i} and its words") for i in range(90)]
+    rows += [(None, "nulls are first"), (None, "in the order of their texts"), (-(1 << 62), "least")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")
+    found = got(spotsigs.compared(df))
+    assert len(found) == len(rows)
+    order = sorted((r for r in rows if r[0] is not None))
+    assert sorted(x for x in found if x[0] is not None)[:-1] == brute(order)[:-1]
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        spotsigs.compared(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
+def test_chains_of_texts_of_every_length():
+    """One rule: the start and every anchor with the two content words that follow."""
+    f = spotsigs.xxhash.xxh64_intdigest
+
+    def plain(text):
+        found = spotsigs.words(text.encode())
+        out = set()
+        for i, w in [(-1, b""), *enumerate(found)]:
+            rest = [x for x in found[i + 1 :] if x not in spotsigs.ANCHORS]
+            if rest and (i < 0 or w in spotsigs.ANCHORS or f(w) % spotsigs.SOME == 0):
+                out.add(f(b"%b:%b:%b" % (w, rest[0], rest[1] if len(rest) > 1 else b"")))
+        return sorted(out)
+
+    some = "the quick brown fox is on a hill and sleeps over der alte Mann und das Meer 日本 語 abc def ghi jkl mno pqr".split()
+    for n in range(1, len(some) + 1):
+        for at in range(0, len(some) - n, 3):
+            text = " ".join(some[at : at + n])
+            if any(w not in spotsigs.ANCHORS for w in spotsigs.words(text.encode())):
+                assert spotsigs.signatures(text.encode()) == plain(text)
+    assert spotsigs.signatures(b"") == [] and len(spotsigs.signatures(b"the of")) == len(spotsigs.signatures(b"!!")) == 1
+
+
 def test_repeated_rows(spark):
     rows = [(1, "the same text here"), (1, "the same text here"), (1, "the same text here"), (2, "and the other")]
     assert sorted(got(spotsigs.compared(spark.createDataFrame(rows, "doc_id long, text string")))) == sorted(brute(rows))
