@@ -49,5 +49,13 @@ def test_empty_table_and_files(spark):
     assert back.count() == 41 and max(r["count"] for r in back.groupBy("shard").count().collect()) <= 5
 
 
+def test_shards_keep_columns_of_their_names(spark):
+    df = spark.createDataFrame([(i, "z" * 10, i, "k") for i in range(20)], "doc_id long, text string, shard int, `key` string")
+    path = new_path(spark, "shards")
+    extendible.write_shards(df, 50, path)
+    back = spark.read.parquet(path)
+    assert sorted((r.doc_id, r.shard, r.key) for r in back.collect()) == [(i, i, "k") for i in range(20)] and "_shard" in back.columns
+
+
 def test_query(spark, sf):
     check(queries.op7_extendible(spark, sf), [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()], queries.SHARD_BYTES)
