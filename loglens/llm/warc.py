@@ -8,12 +8,13 @@ the record end as its line separator and gzip; so any Hadoop file system holds t
 Reading: archives are unpacked as a stream, record by record. Segments are dealt by their origin's identifier, ordered
 by segment number and passed through an HTTP and chunk decoder one at a time, so no task holds a group of segments;
 their numbers must run from 1 without a gap and their lengths must add up to the last one's total, or ``complete`` is
-false and payload columns are null. ``binaryFile`` hands an archive to one task, so archives stay below 2 GB (the
+false and payload columns are null. A record whose fields can't be read, and an archive from the place on where it is
+cut short or isn't WARC, are a row of the type ``unreadable`` with ``complete`` false; the rest is read. ``binaryFile`` hands an archive to one task, so archives stay below 2 GB (the
 writer's are as large as one input split).
 
 A null payload is an empty one. Rows with one id keep a record each; where ids are equal or null among equal
-payloads, every row with the smallest id is a response. Empty tables make empty archives and no rows. Columns other
-than the three named are not looked at.
+payloads, every row with the smallest id is a response. Empty tables make empty archives and no rows. Ids have to
+be integers. Columns other than the three named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglens.llm.common import written
+
 END = b"\r\n\r\n"
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -35,11 +38,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``id``, ``url``, ``payload``, ``digest`` and ``refers_to``: null for responses."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    equal = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.col("digest"))
-    first = rows.select("id", equal.alias("equal")).filter("equal is not null").groupBy("equal").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.withColumn("equal", equal).join(first, "equal", "left")
+    long = F.octet_length("payload") >= REVISIT_BYTES
+    first = rows.filter(long).groupBy(F.col("digest").alias("equal")).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Short payloads meet nothing and are spread by their ids; the written side lets a very common payload be split.
+    equal = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string")))
+    joined = rows.withColumn("equal", equal).join(written(first, "first"), "equal", "left")
     return joined.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -152,11 +157,14 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields by lower-case name, and block, of each record."""
     reader = _Reader(unpacked(data))
     while (head := reader.until(END)) is not None:
-        version, *lines = head.strip(b"\r\n").decode().split("\r\n")
+        version, *lines = head.strip(b"\r\n").decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record starts with {version[:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        yield fields, reader.take(int(fields["content-length"]))
+        length = fields.get("content-length", "")
+        if not length.isascii() or not length.isdigit():
+            raise ValueError("a record has no length")
+        yield fields, reader.take(int(length))
         reader.take(len(END))
 
 
@@ -238,15 +246,26 @@ def parse(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
             return (f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]), _number(f.get("warc-segment-total-length")), page, None, stated, kind, None, 1, None, None, block)
         return (f["warc-record-id"], 0, None, page, *decoded([block], keep_payload, stated, kind, 1), None)
 
+    def rows(data: bytes) -> Iterator[tuple[tuple, int]]:
+        broken = (None, 0, None, None, None, None, "unreadable", None, 1, False, None, None)
+        try:
+            for f, block in parsed(data):
+                if f.get("warc-type") in ("response", "revisit", "continuation"):
+                    try:
+                        yield row(f, block), len(block)
+                    except (KeyError, ValueError):
+                        yield broken, 0
+        except (ValueError, zlib.error):
+            yield broken, 0
+
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 out, size = [], 0
-                for f, block in parsed(data.as_py()):
-                    if f["warc-type"] in ("response", "revisit", "continuation"):
-                        out.append(row(f, block))
-                        size += len(block)
-                    if size > 4 << 20:
+                for found, n in rows(data.as_py()):
+                    out.append(found)
+                    size += n
+                    if size > 4 << 20 or len(out) >= 50_000:
                         yield _batch(out, _SCHEMA)
                         out, size = [], 0
                 yield _batch(out, _SCHEMA)

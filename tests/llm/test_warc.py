@@ -59,6 +59,29 @@ def test_segments_that_are_lost_or_doubled(spark):
         assert len(found) == 1 and not found[0].complete and found[0].payload_digest is None
 
 
+def test_archives_that_cannot_be_read(spark):
+    """What is broken is a row that says so; what stands before it, and other archives, are read."""
+    part = list(warc.records("1", 5, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, 1 << 16, 64))
+    other = list(warc.records("2", 6, "u", b"other", hashlib.sha256(b"other").hexdigest(), None, 1 << 16, 64))
+    whole = archive([*part, *other])
+    odd = {
+        "cut short": (gzip.compress(b"".join(p + warc.END for p in part) + other[0][:60]), [5, None]),
+        "gzip cut short": (whole[:-30], [5, None]),
+        "no gzip after the magic": (b"\x1f\x8bxxxxxxxxxxxxxxxx", [None]),
+        "no archive": (b"hello\r\n\r\nworld", [None]),
+        "no length": (archive([part[0].replace(b"Content-Length", b"Content-Longness"), *other]), [None]),
+        "no type": (archive([part[0].replace(b"WARC-Type", b"WARC-Kind"), *other]), [6]),
+        "no name": (archive([part[0].replace(b"WARC-Record-ID", b"WARC-Record-IX"), *other]), [6, None]),
+        "an id that is no number": (archive([part[0].replace(b"X-Page-Id: 5", b"X-Page-Id: five"), *other]), [6, None]),
+        "bytes that are no text": (archive([part[0].replace(b"URI: u", b"URI: \xff\xfe"), *other]), [5, 6]),
+        "nothing": (b"", []),
+    }
+    for name, (data, pages) in odd.items():
+        got = warc.reassemble(warc.parse(spark.createDataFrame([(bytearray(data),)], "content binary"))).collect()
+        assert sorted((r.page_id for r in got), key=str) == sorted(pages, key=str), name
+        assert all(r.complete == (r.record_type != "unreadable") for r in got), name
+
+
 def test_framing():
     body = b"5;ext=1\r\nhello\r\n6\r\n world\r\n0\r\nTrailer: x\r\n\r\n"
     head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n"
