@@ -39,6 +39,8 @@ from loglens.llm.common import remove, trimmed, written
 from loglens.llm.simhash import by_cell, mix, whole_cells
 
 GROUP = 20_000
+#: Windows of words in a run, on average.
+RUN = 4
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -142,7 +144,11 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
 
 
 def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text hash, start and end of every window of ``words`` words and less than ``length`` bytes that occurs in another row or, apart from itself, in its own."""
+    """id, text hash, start and end of windows of ``words`` words and less than ``length`` bytes that occur in another row or, apart from itself, in their own; a run of windows may be one span.
+
+    Neighbouring windows are runs that end where a window's hash says so, so that texts with a common passage have the
+    runs within it in common. A run that two texts have is one row; only the windows of other runs are looked up one by one.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     white = np.zeros(256, bool)
     white[list(b" \t\n\r\x0b\x0c")] = True
@@ -150,30 +156,45 @@ def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col
     def run(batches):
         f = xxhash.xxh64_intdigest
         for batch in batches:
-            of, texts, starts, ends, k1, k2, one, again = [], [], [], [], [], [], [], []
+            of, texts, starts, ends, k1, k2, one, size, w = [], [], [], [], [], [], [], [], [[] for _ in range(6)]
             for i, data in _rows(batch):
                 inside = np.concatenate(([False], ~white[np.frombuffer(data, np.uint8)], [False]))
                 edges = np.flatnonzero(inside[1:] != inside[:-1])
                 first, last = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
-                short = last - first < length
-                if short.any():
-                    text, seen = f(data, 42), {}
-                    for a, b in zip(first[short].tolist(), last[short].tolist(), strict=True):
+                at = np.flatnonzero(last - first < length)
+                if not len(at):
+                    continue
+                text, seen, runs, before = f(data, 42), {}, {}, -2
+                for k, a, b in zip(at.tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                    key = f(data[a:b], 1), f(data[a:b], 2)
+                    if k != before + 1 or key[0] % RUN == 0:  # a run starts
                         of.append(i)
                         texts.append(text)
                         starts.append(a)
                         ends.append(b)
-                        k1.append(f(data[a:b], 1))
-                        k2.append(f(data[a:b], 2))
-                        before = seen.setdefault((k1[-1], k2[-1]), a)
-                        one.append(int(before == a))
-                        again.append(a - before >= b - a)
+                        size.append(0)
+                    before, ends[-1] = k, b
+                    size[-1] += 1
+                    earliest = seen.setdefault(key, a)
+                    for column, x in zip(w, (a, b, *key, int(earliest == a), a - earliest >= b - a), strict=True):
+                        column.append(x)
+                for r in range(len(k1), len(of)):
+                    key = f(data[starts[r] : ends[r]], 3), f(data[starts[r] : ends[r]], 4)
+                    k1.append(key[0])
+                    k2.append(key[1])
+                    one.append(int(runs.setdefault(key, r) == r))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), pa.array(again, pa.bool_())], names=["id", "text", "start", "end", "k1", "k2", "one", "again"])
-
-    found = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), f"id {kind}, text long, start int, end int, k1 long, k2 long, one int, again boolean"), "windows")
-    shared = written(found.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2"), "values")
-    return found.join(shared, ["k1", "k2"]).select("id", "text", "start", "end")
+            flat = pa.StructArray.from_arrays([pa.array(w[0], pa.int32()), pa.array(w[1], pa.int32()), long(w[2]), long(w[3]), pa.array(w[4], pa.int32()), pa.array(w[5], pa.bool_())], ["start", "end", "k1", "k2", "one", "again"])
+            windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), windows], names=["id", "text", "start", "end", "r1", "r2", "one", "windows"])
+
+    schema = f"id {kind}, text long, start int, end int, r1 long, r2 long, one int, windows array<struct<start:int,end:int,k1:long,k2:long,one:int,again:boolean>>"
+    found = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema), "windows")
+    runs = written(found.groupBy("r1", "r2").agg(F.sum("one").alias("n")).filter("n > 1").select("r1", "r2"), "runs")
+    single = found.select(F.inline("windows"))
+    shared = written(single.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2"), "values")
+    rest = found.join(runs, ["r1", "r2"], "left_anti").select("id", "text", F.inline("windows"))
+    return found.join(runs, ["r1", "r2"]).select("id", "text", "start", "end").unionByName(rest.join(shared, ["k1", "k2"]).select("id", "text", "start", "end"))
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:

@@ -110,10 +110,26 @@ def chosen(counts: DataFrame, clean: int, toxic: int) -> tuple[list[str], list[s
     return [r.feature for r in voters.select("feature").collect()], [r.feature for r in best.select("feature").collect()]
 
 
-def votes(text: str | None, index: dict[str, int], size: int) -> tuple[list[int], list[int]]:
-    """Indices of a text's features among ``index``, and of its patterns from ``size`` on."""
+class Known:
+    """Which of some features each word has; remembers words."""
+
+    def __init__(self, features):
+        self.base = {f.lstrip("2%") for f in features}
+        self.kept: dict[bytes, tuple] = {}
+
+    def __call__(self, word: bytes) -> tuple:
+        f = self.kept.get(word)
+        if f is None:
+            if len(self.kept) > 100_000:
+                self.kept.clear()
+            f = self.kept[word] = tuple(x for x in features_of(word) if x in self.base)
+        return f
+
+
+def votes(text: str | None, index: dict[str, int], size: int, known=features_of) -> tuple[list[int], list[int]]:
+    """Indices of a text's features among ``index``, and of its patterns from ``size`` on. known: a Known of the index."""
     lowered = (text or "").lower()
-    found = sorted({index[f] for f in features(tokens(text)) if f in index})
+    found = sorted({index[f] for f in features(tokens(text), known) if f in index})
     return found, [size + k for k, p in enumerate(PATTERNS.values()) if p.search(lowered)]
 
 
@@ -201,7 +217,7 @@ def label_model(votes, rounds: int = 25) -> dict[str, np.ndarray]:
         # A voter that doesn't fire abstains: its silence says little, as each language has voters of its own.
         for_toxic = np.log(rates[1] / rates[0])
         before, weight, base = (weight, base), for_toxic * share, float(np.log(quiet / (1 - quiet)))
-        if np.abs(weight - before[0]).max(initial=0) < 1e-2 and abs(base - before[1]) < 1e-2:
+        if np.abs(weight - before[0]).max(initial=0) < 0.05 and abs(base - before[1]) < 0.05:
             break
         p, p2, px, silent, toxic = votes.sums(weight, base, for_toxic > 1)
         quiet = (toxic + 0.5) / (silent + 5)
@@ -248,10 +264,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     asked = rows.join(F.broadcast(known), "id", "left").select("text", "id", F.col("toxic").alias("given"), (F.col("toxic").isNotNull() | F.coalesce(chance, F.lit(False))).alias("wanted"))
 
     def run(batches):
+        remembered = Known(index)
         for batch in batches:
             fired, shown = [], []
             for x, wanted in zip(batch.column(0), batch.column(3).to_pylist(), strict=True):
-                f, p = votes(x.as_py(), index, n_voters)
+                f, p = votes(x.as_py(), index, n_voters, remembered)
                 fired.append([i for i in f if i < n_voters] + p)
                 shown.append(f if wanted else None)
             kind = pa.list_(pa.int32())
@@ -286,17 +303,7 @@ class Scorer:
     """Scores of whole texts by a trained model; remembers which features each word has in it."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.base = {f.lstrip("2%") for f in weights}
-        self.kept: dict[bytes, tuple] = {}
-
-    def known(self, word: bytes) -> tuple:
-        f = self.kept.get(word)
-        if f is None:
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            f = self.kept[word] = tuple(x for x in features_of(word) if x in self.base)
-        return f
+        self.weights, self.bias, self.known = weights, bias, Known(weights)
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.weights.get(f, 0.0) for f in sorted(features(tokens(text), self.known)))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -135,3 +136,30 @@ def test_passages_of_short_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, docs, "").collect()}
     assert got == {1: "xx  yyyy", 2: "", 3: rows[2][1], 4: rows[3][1], 5: alone, 6: "", 7: "the " * 55}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_of_words_against_brute_force(spark, seed):
+    """Bytes covered by windows of 6 words and under 40 bytes that another row has, or that stand twice in a row without overlap."""
+    r = np.random.default_rng(seed)
+    word = lambda: "".join(r.choice(list("ab"), int(r.integers(1, 3))))
+    passage = [" ".join(word() for _ in range(int(r.integers(6, 30)))) for _ in range(4)]
+    rows = [(i if i % 9 else None, " ".join([*(word() for _ in range(int(r.integers(0, 12)))), passage[int(r.integers(4))], *(word() for _ in range(int(r.integers(0, 12))))])) for i in range(25)]
+    rows += [rows[3], rows[3], (50, None), (51, ""), (52, "a " * 40), (53, " ".join(["abababababab"] * 9))]
+    data = [(t or "").encode() for _, t in rows]
+    windows = []
+    for d in data:
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", d)]
+        windows.append([(a, b) for (a, _), (_, b) in zip(at, at[5:]) if b - a < 40])
+    want = []
+    for x, d in enumerate(data):
+        gone = set()
+        for a, b in windows[x]:
+            own = [p for p, q in windows[x] if d[p:q] == d[a:b]]
+            if any(d[a:b] == data[y][p:q] for y in range(len(data)) if y != x for p, q in windows[y]) or max(own) - min(own) >= b - a:
+                gone |= set(range(a, b))
+        want.append((rows[x][0], repeats.xxhash.xxh64_intdigest(d, 42), frozenset(gone)))
+    got = {}
+    for f in repeats.word_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6, 40, "doc_id", "text").collect():
+        got.setdefault((f.id, f.text & (2**64 - 1)), set()).update(range(f.start, f.end))
+    assert {(i, h): frozenset(g) for (i, h), g in got.items()} == {(i, h): g for i, h, g in want if g}
