@@ -40,7 +40,7 @@ from loglens.llm.simhash import by_cell, mix, whole_cells
 
 GROUP = 20_000
 #: Windows of words in a run, on average.
-RUN = 4
+RUN = 8
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -146,8 +146,9 @@ def anchors(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFra
 def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col: str) -> DataFrame:
     """id, text hash, start and end of windows of ``words`` words and less than ``length`` bytes that occur in another row or, apart from itself, in their own; a run of windows may be one span.
 
-    Neighbouring windows are runs that end where a window's hash says so, so that texts with a common passage have the
-    runs within it in common. A run that two texts have is one row; only the windows of other runs are looked up one by one.
+    Neighbouring windows, longer ones too, are runs that end where the hash of the next window's first bytes says so, so
+    that texts with a common passage have the runs within it in common. A run that two texts have is one row, all of whose
+    windows repeat; only the short windows of other runs are looked up one by one, equal ones of a run once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     white = np.zeros(256, bool)
@@ -156,45 +157,60 @@ def word_repeats(docs: DataFrame, words: int, length: int, id_col: str, text_col
     def run(batches):
         f = xxhash.xxh64_intdigest
         for batch in batches:
-            of, texts, starts, ends, k1, k2, one, size, w = [], [], [], [], [], [], [], [], [[] for _ in range(6)]
+            of, texts, starts, ends, k1, k2, one, windows = [], [], [], [], [], [], [], []
             for i, data in _rows(batch):
                 inside = np.concatenate(([False], ~white[np.frombuffer(data, np.uint8)], [False]))
                 edges = np.flatnonzero(inside[1:] != inside[:-1])
                 first, last = edges[::2][: max(0, len(edges) // 2 - words + 1)], edges[1::2][words - 1 :]
-                at = np.flatnonzero(last - first < length)
-                if not len(at):
+                short = np.flatnonzero(last - first < length)
+                if not len(short):
                     continue
-                text, seen, runs, before = f(data, 42), {}, {}, -2
-                for k, a, b in zip(at.tolist(), first[at].tolist(), last[at].tolist(), strict=True):
+                begins = _rolling(data, 8)[first] % np.uint64(RUN) == 0
+                begins[0] = True
+                numbers = np.cumsum(begins) - 1
+                kept = np.unique(numbers[short])
+                low = np.flatnonzero(begins)[kept]
+                high = np.append(np.flatnonzero(begins)[1:], len(first))[kept] - 1
+                text, seen, runs = f(data, 42), {}, {}
+                of += [i] * len(kept)
+                texts += [text] * len(kept)
+                starts += first[low].tolist()
+                ends += last[high].tolist()
+                number, base = numbers[short].tolist(), len(windows)
+                windows += [{} for _ in kept]
+                row = -1
+                for k, (a, b) in enumerate(zip(first[short].tolist(), last[short].tolist(), strict=True)):
+                    row += k == 0 or number[k] != number[k - 1]
                     key = f(data[a:b], 1), f(data[a:b], 2)
-                    if k != before + 1 or key[0] % RUN == 0:  # a run starts
-                        of.append(i)
-                        texts.append(text)
-                        starts.append(a)
-                        ends.append(b)
-                        size.append(0)
-                    before, ends[-1] = k, b
-                    size[-1] += 1
                     earliest = seen.setdefault(key, a)
-                    for column, x in zip(w, (a, b, *key, int(earliest == a), a - earliest >= b - a), strict=True):
-                        column.append(x)
+                    held = windows[base + row].setdefault(key, [0, False, []])
+                    held[0] |= earliest == a
+                    held[1] |= a - earliest >= b - a
+                    if held[2] and a <= held[2][-1][1]:
+                        held[2][-1] = held[2][-1][0], b
+                    else:
+                        held[2].append((a, b))
                 for r in range(len(k1), len(of)):
                     key = f(data[starts[r] : ends[r]], 3), f(data[starts[r] : ends[r]], 4)
                     k1.append(key[0])
                     k2.append(key[1])
                     one.append(int(runs.setdefault(key, r) == r))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            flat = pa.StructArray.from_arrays([pa.array(w[0], pa.int32()), pa.array(w[1], pa.int32()), long(w[2]), long(w[3]), pa.array(w[4], pa.int32()), pa.array(w[5], pa.bool_())], ["start", "end", "k1", "k2", "one", "again"])
-            windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), windows], names=["id", "text", "start", "end", "r1", "r2", "one", "windows"])
-
-    schema = f"id {kind}, text long, start int, end int, r1 long, r2 long, one int, windows array<struct<start:int,end:int,k1:long,k2:long,one:int,again:boolean>>"
+            flat = [(key, x) for held in windows for key, x in held.items()]
+            places = [p for _, x in flat for p in x[2]]
+            ends_of = lambda sizes: pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            spans = pa.ListArray.from_arrays(ends_of([len(x[2]) for _, x in flat]), pa.StructArray.from_arrays([pa.array([p[0] for p in places], pa.int32()), pa.array([p[1] for p in places], pa.int32())], ["start", "end"]))
+            each = pa.StructArray.from_arrays([long([k[0] for k, _ in flat]), long([k[1] for k, _ in flat]), pa.array([int(x[0]) for _, x in flat], pa.int32()), pa.array([x[1] for _, x in flat], pa.bool_()), spans], ["k1", "k2", "one", "again", "spans"])
+            lists = pa.ListArray.from_arrays(ends_of(map(len, windows)), each)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), long(texts), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), long(k1), long(k2), pa.array(one, pa.int32()), lists], names=["id", "text", "start", "end", "r1", "r2", "one", "windows"])
+
+    schema = f"id {kind}, text long, start int, end int, r1 long, r2 long, one int, windows array<struct<k1:long,k2:long,one:int,again:boolean,spans:array<struct<start:int,end:int>>>>"
     found = written(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(trimmed(run), schema), "windows")
     runs = written(found.groupBy("r1", "r2").agg(F.sum("one").alias("n")).filter("n > 1").select("r1", "r2"), "runs")
     single = found.select(F.inline("windows"))
     shared = written(single.groupBy("k1", "k2").agg(F.sum("one").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("k1", "k2"), "values")
     rest = found.join(runs, ["r1", "r2"], "left_anti").select("id", "text", F.inline("windows"))
-    return found.join(runs, ["r1", "r2"]).select("id", "text", "start", "end").unionByName(rest.join(shared, ["k1", "k2"]).select("id", "text", "start", "end"))
+    return found.join(runs, ["r1", "r2"]).select("id", "text", "start", "end").unionByName(rest.join(shared, ["k1", "k2"]).select("id", "text", F.inline("spans")))
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:

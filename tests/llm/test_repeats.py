@@ -150,16 +150,18 @@ def test_windows_of_words_against_brute_force(spark, seed):
     windows = []
     for d in data:
         at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", d)]
-        windows.append([(a, b) for (a, _), (_, b) in zip(at, at[5:]) if b - a < 40])
+        windows.append([(a, b) for (a, _), (_, b) in zip(at, at[5:])])
     want = []
     for x, d in enumerate(data):
-        gone = set()
+        gone, most = set(), set()
         for a, b in windows[x]:
             own = [p for p, q in windows[x] if d[p:q] == d[a:b]]
             if any(d[a:b] == data[y][p:q] for y in range(len(data)) if y != x for p, q in windows[y]) or max(own) - min(own) >= b - a:
-                gone |= set(range(a, b))
-        want.append((rows[x][0], repeats.xxhash.xxh64_intdigest(d, 42), frozenset(gone)))
+                most |= set(range(a, b))
+                gone |= set(range(a, b)) if b - a < 40 else set()
+        want.append((rows[x][0], repeats.xxhash.xxh64_intdigest(d, 42), gone, most))
     got = {}
     for f in repeats.word_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6, 40, "doc_id", "text").collect():
         got.setdefault((f.id, f.text & (2**64 - 1)), set()).update(range(f.start, f.end))
-    assert {(i, h): frozenset(g) for (i, h), g in got.items()} == {(i, h): g for i, h, g in want if g}
+    for i, h, gone, most in want:  # a run may hold longer windows too, which repeat as well
+        assert gone <= got.get((i, h), set()) <= most
