@@ -14,7 +14,7 @@ from loglens.functions.text import completion_column, fragment, match_rank, mess
 #: Fields in the order of suggestions, and the names under which they are typed.
 FIELDS = ["level", "tag", "pid", "tid", "msg"]
 NAMES = {"level": "level", "lvl": "level", "priority": "level", "tag": "tag", "pid": "pid", "tid": "tid", "msg": "msg", "message": "msg", "text": "msg"}
-HEAD_LINES, MOST_VALUES, PARTS = 1_000_000, 1_000_000, 32
+HEAD_LINES, PARTS = 1_000_000, 32
 
 
 def sampled_head(lines: DataFrame, most: int = HEAD_LINES) -> DataFrame:
@@ -29,19 +29,19 @@ def sampled_parts(lines: DataFrame, most: int, parts: int = PARTS) -> DataFrame:
     return lines.join(size, "source_id").filter((F.col("line_no") % stretch) < max(1, most // parts)).drop("total")
 
 
-def values(lines: DataFrame) -> DataFrame:
-    """source_id, field, value, count, last_seen (line)."""
+def values(lines: DataFrame, of_messages: bool = True) -> DataFrame:
+    """source_id, field, value, count, last_seen (line); of_messages: words of messages too."""
     records = lines if "structured" in lines.columns else with_record(lines)
     item = lambda name, value: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
     fixed = [item("level", level_letter(F.col("level"))), item("pid", F.col("pid")), item("tid", F.col("tid")), item("tag", F.when(F.col("tag") != "", F.col("tag")))]
     words = F.transform(message_words(F.col("msg")), lambda w: F.struct(F.lit("msg").alias("field"), w.alias("value")))
-    exploded = records.select("source_id", "line_no", F.explode(F.concat(F.array(*fixed), words)).alias("x")).select("source_id", "line_no", "x.*")
+    exploded = records.select("source_id", "line_no", F.explode(F.concat(F.array(*fixed), words) if of_messages else F.array(*fixed)).alias("x")).select("source_id", "line_no", "x.*")
     return exploded.filter("value is not null").groupBy("source_id", "field", "value").agg(F.count("*").alias("count"), F.max("line_no").alias("last_seen"))
 
 
 def distinct_values(lines: DataFrame) -> DataFrame:
     """Levels, process and thread ids that occur."""
-    return values(lines).filter(F.col("field").isin("level", "pid", "tid")).select("field", "value").distinct()
+    return values(lines, of_messages=False).filter(F.col("field").isin("level", "pid", "tid")).select("field", "value").distinct()
 
 
 def merged(found: DataFrame) -> DataFrame:

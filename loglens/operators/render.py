@@ -3,25 +3,23 @@
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loglens.plans.filters import Filter
 
 ELLIPSIS = "…"
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("truncated", T.BooleanType())]))
-def _cut(line: pd.Series, most: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, n in zip(line, most, strict=True):
-        data = (text or "").encode()
-        rows.append((data[:n].decode("utf-8", "ignore") + ELLIPSIS, True) if len(data) > n else (text or "", False))
-    return pd.DataFrame(rows, columns=["text", "truncated"])
-
-
 def truncated(line: Column, max_bytes: int) -> Column:
     """text and truncated: at most ``max_bytes`` bytes, no character cut through, an ellipsis after what is cut."""
-    return _cut(line, F.lit(max_bytes))
+    data = F.encode(line, "UTF-8")
+    goes_on = lambda at: F.hex(F.substring(data, at + 1, 1)).between("80", "BF")  # noqa: E731  the byte at a place is no character's first
+    first = [n for n in range(max_bytes, max(0, max_bytes - 4), -1)]
+    end = F.lit(0)
+    for n in reversed(first):
+        end = F.when(~goes_on(n), n).otherwise(end)
+    beyond = F.coalesce(F.octet_length(line) > max_bytes, F.lit(False))
+    cut = F.concat(F.decode(F.substring(data, F.lit(1), end), "UTF-8"), F.lit(ELLIPSIS))
+    return F.struct(F.when(beyond, cut).otherwise(F.coalesce(line, F.lit(""))).alias("text"), beyond.alias("truncated"))
 
 
 def flattened(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -68,6 +68,13 @@ def summary(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("matches"), F.count_distinct("source_id").alias("sources"))
 
 
+def size_warning(matches: int, merged: int = 0) -> str | None:
+    """What to say of a result before it is shown or kept, if it is very large."""
+    if matches > MANY_MATCHES:
+        return f"{matches:,} matches are more than {MANY_MATCHES:,}"
+    return f"{merged:,} merged rows are more than {MANY_MERGED:,}" if merged > MANY_MERGED else None
+
+
 def inferred_base(lines: DataFrame) -> int | None:
     """The first timestamp of the first lines, for times without a date."""
     first = lines.filter(F.col("line_no") < BASE_LINES)

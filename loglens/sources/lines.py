@@ -31,12 +31,15 @@ def size(spark: SparkSession, path: str) -> int:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """line_no for rows with file, block and at (an order within a block): rows are numbered in their block, and blocks by the sizes of those before."""
-    sizes = df.groupBy("file", "block").agg(F.count("*").alias("n"))
+    """line_no for rows with file, block and at, which rises by one from line to line of a block.
+
+    Blocks are counted, and a row's number is its place in its block plus the sizes of the blocks before; only the
+    table of blocks is ordered, and lines move for the join with it alone where that table can't be broadcast.
+    """
+    sizes = df.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("file", "block", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return df.withColumn("within", within).join(offsets, ["file", "block"]).withColumn("line_no", F.col("before") + F.col("within")).drop("within", "before", "block", "at")
+    offsets = sizes.select("file", "block", (before - F.col("least")).alias("offset"))
+    return df.join(offsets, ["file", "block"]).withColumn("line_no", F.col("at") + F.col("offset")).drop("offset", "block", "at")
 
 
 def read(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
@@ -85,10 +88,28 @@ def kept(spark: SparkSession, path: str, cache_dir: str, encoding: str | None =
     return spark.read.parquet(at)
 
 
-def grown(spark: SparkSession, path: str, earlier_head: bytes, earlier_length: int) -> bool:
-    """Whether a file has only been added to: as long as before at least, with the same first bytes."""
+def piece(spark: SparkSession, path: str, start: int, count: int) -> bytes:
+    """``count`` bytes of a file from ``start`` on, or as many as there are."""
     p, fs = _file_system(spark, path)
-    return fs.getFileStatus(p).getLen() >= earlier_length and head(spark, path, len(earlier_head)) == earlier_head
+    stream = fs.open(p)
+    try:
+        stream.seek(start)
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, max(0, min(count, fs.getFileStatus(p).getLen() - start))))
+    finally:
+        stream.close()
+
+
+def ends(spark: SparkSession, path: str) -> tuple[bytes, bytes, int]:
+    """A file's first and last bytes and its length, by which grown() knows it again."""
+    n = size(spark, path)
+    return head(spark, path), piece(spark, path, max(0, n - HEAD), HEAD), n
+
+
+def grown(spark: SparkSession, path: str, earlier_head: bytes, earlier_length: int, earlier_tail: bytes = b"") -> bool:
+    """Whether a file has only been added to: as long as before at least, and with the same bytes where it started and where it ended."""
+    if size(spark, path) < earlier_length or head(spark, path, len(earlier_head)) != earlier_head:
+        return False
+    return piece(spark, path, earlier_length - len(earlier_tail), len(earlier_tail)) == earlier_tail
 
 
 def kind_of(path: str) -> str:

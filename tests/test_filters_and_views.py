@@ -246,3 +246,35 @@ def test_spans_of_all_lines(spark, sf):
     got = queries.queries()["flt08_spans"](spark, sf).collect()
     assert {(r.source_id, r.line_no, r["filter"], r.start, r.end) for r in got} == want and len(got) == len(want)
     assert any(r.line_no > 0 for r in got)
+
+
+def test_files_that_grew_and_that_were_written_anew(spark, tmp_path):
+    from loglens.sources import lines
+
+    path = tmp_path / "a.log"
+    path.write_bytes(b"head\n" + b"x" * 200_000 + b"\nend\n")
+    head, tail, n = lines.ends(spark, str(path))
+    assert lines.grown(spark, str(path), head, n, tail)
+    path.write_bytes(path.read_bytes() + b"more\n")
+    assert lines.grown(spark, str(path), head, n, tail)
+    changed = bytearray(path.read_bytes())
+    changed[n - 2] = 0x21
+    path.write_bytes(changed)
+    assert lines.grown(spark, str(path), head, n) and not lines.grown(spark, str(path), head, n, tail)
+    path.write_bytes(b"head\n")
+    assert not lines.grown(spark, str(path), head, n, tail)
+
+
+def test_numbers_of_lines_in_several_blocks(spark):
+    from loglens.sources import lines
+
+    rows = [("f", 0, (3 << 33) + i, f"a{i}") for i in range(5)] + [("f", 64, (1 << 33) + 7 + i, f"b{i}") for i in range(4)] + [("g", 0, i, f"c{i}") for i in range(3)]
+    got = {(r.file, r.line_no): r.line for r in lines.numbered(spark.createDataFrame(rows[::-1], "file string, block long, at long, line string")).collect()}
+    assert got == {("f", i): f"a{i}" for i in range(5)} | {("f", 5 + i): f"b{i}" for i in range(4)} | {("g", i): f"c{i}" for i in range(3)}
+
+
+def test_size_warnings():
+    from loglens.operators import scan
+
+    assert scan.size_warning(scan.MANY_MATCHES) is None and "200,000,001" in scan.size_warning(scan.MANY_MATCHES + 1)
+    assert "merged" in scan.size_warning(0, scan.MANY_MERGED + 1)
