@@ -17,7 +17,7 @@ adaptive execution splits a frequent one. So nothing is capped and no task holds
 Where repeats of ``words`` words are asked for too, the windows of so many words that are shorter than ``length`` bytes
 are counted by 128 bits of hash, all bytes from the first word to the last; longer ones hold strings of ``length`` bytes.
 
-Texts are compressed once, into the shared folder. Null texts are empty; texts shorter than ``length`` keep everything; ties,
+Texts cross the shuffle zstd-compressed. Null texts are empty; texts shorter than ``length`` keep everything; ties,
 repeated rows and rows with equal or null ids are documents of their own, so each counts as the other's repeat. Very
 long texts are searched piece by piece; an anchor that two pieces find counts once. Empty tables give empty results;
 other columns are not looked at, whatever their names.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import remove, trimmed, written
-from loglens.llm.simhash import by_cell, mix, whole_cells
+from loglens.llm.simhash import by_cell, cell_numbers, mix, whole_cells
 
 GROUP = 20_000
 #: Windows of words in a run, on average.
@@ -277,8 +277,8 @@ def maximal(left: list[bytes], right: list[bytes], length: int, size: int):
 def occurrences(docs: DataFrame, length: int, id_col: str, text_col: str, z: DataFrame, every: bool = False) -> DataFrame:
     """``group`` (a hash of the repeated bytes), ``id``, ``text`` (a hash of the text), ``start``, ``end`` of repeats.
 
-    z: what ``packed`` returns, written. every: with the entries that stand for several equal contexts, for each of
-    those; without, as their whole contexts are repeats, they are not listed again under the repeats within.
+    z: what ``packed`` returns. every: all entries of every group, for each of the equal contexts that they stand for;
+    without, an entry's longest reaches alone, with no group, and none for contexts that are repeats as a whole.
     """
     size = length // 2
     found = written(anchors(docs, length, id_col, text_col), "anchors")
@@ -321,25 +321,39 @@ def occurrences(docs: DataFrame, length: int, id_col: str, text_col: str, z: Dat
 
     def scan(batches):
         for table in whole_cells(batches, len(names)):
-            v, lo, hi, ids, texts, pos, t, single, left, right = (table.column(i).to_pylist() for i in range(len(names)))
+            ends = np.append(np.flatnonzero(np.diff(cell_numbers(table))) + 1, len(table)).tolist()
+            single, left, right = table.column("single").to_numpy(), table.column("left"), table.column("right")
             group, at, reach, depth, a = [], [], [], [], 0
-            for b in range(1, len(v) + 1):
-                if b == len(v) or (v[b], lo[b], hi[b]) != (v[a], lo[a], hi[a]):
-                    if b - a > 1:
-                        for p, q, members in maximal(left[a:b], right[a:b], length, size):
-                            i = a + members[0]
-                            name = xxhash.xxh64_intdigest(left[i][:p][::-1] + right[i][:q], 3)
-                            some = [a + i for i in members if every or single[a + i]]
-                            at += some
-                            group += [name] * len(some)
-                            reach += [p] * len(some)
-                            depth += [q] * len(some)
-                    a = b
-            place = np.array([pos[i] for i in at], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(group, np.uint64).view(np.int64)), pa.array([ids[i] for i in at], table.schema.field(3).type), pa.array([texts[i] for i in at], pa.int64()), pa.array(place - np.array(reach, np.int32)), pa.array(place + np.array(depth, np.int32)), *([pa.array([v[i] for i in at], pa.int64()), pa.array([t[i] for i in at], pa.int64()), pa.array(place)] if every else [])],
-                names=["group", "id", "text", "start", "end", *(["v", "t", "pos"] if every else [])],
-            )
+            for b in ends:
+                if b - a > 1:
+                    before, after, longest = left.slice(a, b - a).to_pylist(), right.slice(a, b - a).to_pylist(), {}
+                    for p, q, members in maximal(before, after, length, size):
+                        if every:
+                            at += [a + i for i in members]
+                            group += [xxhash.xxh64_intdigest(before[members[0]][:p][::-1] + after[members[0]][:q], 3)] * len(members)
+                            reach += [p] * len(members)
+                            depth += [q] * len(members)
+                        else:
+                            for i in members:
+                                if single[a + i] and q > longest.get((i, p), 0):
+                                    longest[i, p] = q
+                    for (i, p), q in longest.items():
+                        at.append(a + i)
+                        group.append(0)
+                        reach.append(p)
+                        depth.append(q)
+                    if len(at) > 100_000:
+                        yield _found(table, group, at, reach, depth)
+                        group, at, reach, depth = [], [], [], []
+                a = b
+            yield _found(table, group, at, reach, depth)
+
+    def _found(table, group, at, reach, depth):
+        rows = table.select(["id", "text", "v", "t", "pos"]).take(pa.array(at, pa.int64())).combine_chunks()
+        place = rows.column("pos").to_numpy()
+        columns = [pa.array(np.array(group, np.uint64).view(np.int64)), rows.column("id"), rows.column("text"), pa.array(place - np.array(reach, np.int32)), pa.array(place + np.array(depth, np.int32)), *([rows.column(c) for c in ("v", "t", "pos")] if every else [])]
+        found = pa.table(columns, names=["group", "id", "text", "start", "end", *(["v", "t", "pos"] if every else [])]).combine_chunks().to_batches()
+        return found[0] if found else pa.RecordBatch.from_arrays([pa.array([], c.type) for c in columns], names=["group", "id", "text", "start", "end", *(["v", "t", "pos"] if every else [])])
 
     cells = by_cell(both.mapInArrow(trimmed(cut), f"v long, lo long, hi long, id {kind}, text long, pos int, t long, single boolean, left binary, right binary"), "v")
     schema = f"group long, id {kind}, text long, start int, end int"
@@ -352,7 +366,7 @@ def occurrences(docs: DataFrame, length: int, id_col: str, text_col: str, z: Dat
 
 def groups(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats of ``length`` bytes or more as far as their anchors' contexts reach: ``group`` (a hash of the bytes), id, ``text`` (a hash of the text), ``start`` and ``end`` of every occurrence."""
-    return occurrences(docs, length, id_col, text_col, written(packed(docs, id_col, text_col), "texts"), every=True).distinct().withColumnRenamed("id", id_col)
+    return occurrences(docs, length, id_col, text_col, packed(docs, id_col, text_col), every=True).distinct().withColumnRenamed("id", id_col)
 
 
 def spans(docs: DataFrame, length: int, id_col: str, text_col: str, z: DataFrame, words: int | None = None) -> DataFrame:
@@ -386,8 +400,8 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), words: int | None = None) -> DataFrame:
     """Every row's ``id``, compressed text ``z``, ``spans`` (null where nothing repeats) and carried columns ``row``."""
-    z = written(packed(docs, id_col, text_col, carry), "texts")
-    found = spans(docs, length, id_col, text_col, z, words).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
+    z = packed(docs, id_col, text_col, carry)
+    found = spans(docs, length, id_col, text_col, packed(docs, id_col, text_col), words).withColumnRenamed("id", "id2").withColumnRenamed("text", "text2")
     return z.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text") == F.col("text2")), "left").select("id", "z", "spans", "row")
 
 
