@@ -17,7 +17,8 @@ such hashes; of hashes that the same classes hold one is enough. A class's finge
 parities of its hashes: the distance of two is never above the sets' symmetric difference, and so neither is that of
 their sizes or of their distances to a pivot. Pairs beyond what alike sets may differ by go in this order: by size, by
 greatest coordinate difference, by the bitmaps. The components of what is left are dealt into cells of up to ``CHUNK``
-classes a side, where the sets themselves decide, made anew from the texts of those classes alone.
+classes and some ``CHUNK_WORDS`` words a side, where the sets themselves decide, made anew from the texts of those
+classes alone.
 
 Nulls are empty texts; a text without words has fingerprint zero and is linked like any other. Repeated rows and
 rows with one doc_id keep a row each; a null doc_id is never the least of a component that has another. Empty tables
@@ -49,8 +50,8 @@ BLOCK = 1 << 18  # hashes whose bits are counted at once, by 64-bit words
 PARITIES = 1024
 #: Hashes counted at once to tell common ones, how often they must occur there, and how many are told at most.
 COUNTED, OFTEN, COMMON = 1 << 20, 4, 100_000
-#: Classes of a component of candidates whose sets one task holds; more are dealt into chunks.
-CHUNK = 500
+#: Classes of a component of candidates, and words of their texts, whose sets one task holds; more are dealt into chunks.
+CHUNK, CHUNK_WORDS = 500, 3 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -191,11 +192,11 @@ def whole_cells(batches, columns: int):
     """Arrow batches ordered by cell (the first three columns) as lists of numpy columns that hold whole cells."""
     rest = None
     for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch])
         cell = np.stack([table.column(i).to_numpy() for i in range(3)])
         change = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
         if not len(change):
-            rest = table.to_batches()[0] if len(table) else None
+            rest = table.combine_chunks().to_batches()[0] if len(table) else None
             continue
         yield table.slice(0, change[-1])
         rest = table.slice(change[-1]).combine_chunks().to_batches()[0]
@@ -346,21 +347,23 @@ def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def packed_classes(docs: DataFrame) -> DataFrame:
-    """``fp`` and the compressed words ``z`` of every class that a task meets."""
+    """``fp``, the compressed words ``z`` and their number ``words`` of every class that a task meets."""
 
     def run(batches):
         press, seen = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
             for _, texts in _groups(batch.column(0)):
-                out = {}
+                out, n = {}, []
                 for t in texts:
-                    words = b" ".join(split(t))
-                    if (fp := xxhash.xxh64_intdigest(words)) not in seen:
+                    words = split(t)
+                    joined = b" ".join(words)
+                    if (fp := xxhash.xxh64_intdigest(joined)) not in seen:
                         seen.add(fp)
-                        out[fp] = press.compress(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out), np.uint64).view(np.int64)), pa.array(list(out.values()), pa.binary())], names=["fp", "z"])
+                        out[fp] = press.compress(joined)
+                        n.append(len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out), np.uint64).view(np.int64)), pa.array(list(out.values()), pa.binary()), pa.array(n, pa.int64())], names=["fp", "z", "words"])
 
-    return docs.select("text").mapInArrow(trimmed(run), "fp long, z binary")
+    return docs.select("text").mapInArrow(trimmed(run), "fp long, z binary, words long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,14 +386,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 def alike_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each set to one of its component, sets being linked where their Jaccard similarity is ``similarity`` or more."""
     size, n = np.array([len(s) for s in sets]), len(sets)
-    hashes, of = np.concatenate(sets), np.repeat(np.arange(n), size)
+    hashes = np.concatenate(sets)
     order = np.argsort(hashes, kind="stable")
-    fresh = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    hashes = hashes[order]
+    fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     start = np.flatnonzero(fresh)
     length = np.diff(np.append(start, len(hashes)))
-    run = np.empty(len(hashes), np.int64)
-    run[order] = np.cumsum(fresh) - 1
-    holders, ends, label = of[order], np.cumsum(size), np.arange(n)
+    run = np.empty(len(hashes), np.int32)
+    run[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    holders, ends, label = np.repeat(np.arange(n, dtype=np.int32), size)[order], np.cumsum(size), np.arange(n)
+    del hashes, order, fresh
     mark = np.zeros(len(start), bool)
     for i in range(n - 1):
         others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -416,7 +421,7 @@ def alike_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, n
 
 
 def verified(star: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges ``a``, ``b`` that span every component of classes (``fp``, ``z``) whose sets are alike.
+    """Edges ``a``, ``b`` that span every component of classes (``fp``, ``z``, ``words``) whose sets are alike.
 
     star: the components of candidates, so that alike sets are in one of them.
     """
@@ -434,7 +439,9 @@ def verified(star: DataFrame, classes: DataFrame, shingle: int, similarity: floa
             both = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    cells = in_cells(members, CHUNK).join(classes.withColumnRenamed("fp", "id"), "id").select("key", "lo", "hi", "id", "z")
+    counts = members.join(classes.select(F.col("fp").alias("id"), "words"), "id").groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    sizes = written(counts.select("key", F.greatest("n", F.ceil(F.col("words") * (CHUNK / CHUNK_WORDS))).alias("n")), "sizes")
+    cells = dealt(members, sizes, CHUNK).join(classes.select(F.col("fp").alias("id"), "z"), "id").select("key", "lo", "hi", "id", "z")
     return by_cell(cells).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
@@ -511,7 +518,7 @@ def _near(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     near = components(by_cell(full).mapInArrow(trimmed(run), "a long, b long").distinct())
     remove(shared, keys)
     of = written(near.select("u").union(near.select("v")).distinct().withColumnRenamed("u", "fp"), "of")
-    texts = written(packed_classes(docs).join(of, "fp").groupBy("fp").agg(F.min("z").alias("z")), "texts")
+    texts = written(packed_classes(docs).join(of, "fp").groupBy("fp").agg(F.min("z").alias("z"), F.min("words").alias("words")), "texts")
     star = components(verified(near, texts, shingle, similarity))
     out = written(_least_of(prints.select("doc_id", "fp"), classes.select("fp", "least"), star), "near")
     remove(prints, classes, near, of, texts, star)

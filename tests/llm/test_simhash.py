@@ -159,3 +159,14 @@ def test_crowds_and_common_shingles(spark, monkeypatch):
             texts.append(" ".join(copy))
     texts += [" ".join([word() for _ in range(int(r.integers(1, 12)))] + line[: int(r.integers(0, 31))]) for _ in range(60)]
     check_groups(spark, texts)
+
+
+def test_cells_are_bounded_by_words(spark, monkeypatch):
+    """Long and short copies of one text chain: the cells hold few words each, and links between them count."""
+    monkeypatch.setattr(simhash, "CHUNK_WORDS", 900)
+    r = np.random.default_rng(6)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base + [word() for _ in range(int(n))]) for n in r.integers(0, 110, 40)]
+    texts += [" ".join(word() for _ in range(2_000)), ""]
+    check_groups(spark, texts)
