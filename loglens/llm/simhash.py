@@ -15,8 +15,9 @@ shingles. Sets of Jaccard similarity s or more share a hash among the first n -
 order; that order has hashes that many texts hold last (an estimate that only costs or saves time). Classes meet under
 such hashes; of hashes that the same classes hold one is enough. A class's fingerprint there is a bitmap of the
 parities of its hashes: the distance of two is never above the sets' symmetric difference, and so neither is that of
-their sizes or of their distances to a pivot. Pairs beyond what alike sets may differ by go in this order: by size, by
-greatest coordinate difference, by the bitmaps. The components of what is left are dealt into cells of up to ``CHUNK``
+their sizes or of their distances to a pivot. The bitmap has about a bit for each hash (a narrow one would be full and
+tell nothing of large sets); a wider one is folded to the width of a narrower one, by exclusive or. Pairs beyond what
+alike sets may differ by go in this order: by size, by greatest coordinate difference, by the bitmaps. The components of what is left are dealt into cells of up to ``CHUNK``
 classes and some ``CHUNK_WORDS`` words a side, where the sets themselves decide, made anew from the texts of those
 classes alone.
 
@@ -47,7 +48,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BUCKET = 2_000
 PIVOTS = 16
 BLOCK = 1 << 18  # hashes whose bits are counted at once, by 64-bit words
-PARITIES = 1024
+#: Least and greatest bits of a bitmap of parities, powers of two; the greatest only saves time.
+PARITIES, MOST_PARITIES = 1024, 1 << 14
 #: Hashes counted at once to tell common ones, how often they must occur there, and how many are told at most.
 COUNTED, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Classes of a component of candidates, and words of their texts, whose sets one task holds; more are dealt into chunks.
@@ -273,6 +275,19 @@ def _sets(texts: list[bytes], shingle: int) -> tuple[list[int], list[np.ndarray]
     return whole, sets
 
 
+def widths(size: np.ndarray) -> np.ndarray:
+    """Bits of the bitmaps of sets: the power of two from the size on, within the bounds."""
+    return 1 << np.ceil(np.log2(np.clip(size, PARITIES, MOST_PARITIES))).astype(np.int64)
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of ``width`` bits or more, folded to that width by exclusive or, as rows of 64-bit words."""
+    if not bits:
+        return np.zeros((0, width // 64), np.uint64)
+    times = np.array([len(x) for x in bits]) * 8 // width
+    return np.bitwise_xor.reduceat(np.frombuffer(b"".join(bits), np.uint64).reshape(-1, width // 64), np.cumsum(times) - times, axis=0)
+
+
 def common_hashes(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes that many sets hold, as far as counts of runs of texts tell; they only go last in the order of prefixes."""
 
@@ -320,10 +335,12 @@ def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 size = np.array([len(sets[i]) for i in fresh], np.int64)
                 hashes = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in fresh)])
                 of = np.repeat(np.arange(len(size)), size)
-                odd = np.zeros((len(size), PARITIES), np.uint8)
-                np.bitwise_xor.at(odd, (of, (hashes & np.uint64(PARITIES - 1)).astype(np.int64)), 1)
-                bits = np.packbits(odd, axis=1)
-                far = np.bitwise_count(bits.view(np.uint64)[:, None] ^ references).sum(2).astype("<i2")
+                wide = widths(size)
+                begin = np.cumsum(wide) - wide
+                odd = np.bincount(begin[of] + (hashes & (wide[of] - 1).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum())) & 1
+                bits = np.packbits(odd.astype(np.uint8))
+                bits = [bits[a // 8 : (a + w) // 8].tobytes() for a, w in zip(begin.tolist(), wide.tolist(), strict=True)]
+                far = np.bitwise_count(folded(bits, PARITIES)[:, None] ^ references).sum(2).astype("<i2")
                 last = np.zeros(len(hashes), bool)
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
@@ -339,7 +356,7 @@ def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 rows = pa.array(at, mask=at < 0)
                 take = lambda values, kind: pa.array(values, kind).take(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), take(size, pa.int32()), take([x.tobytes() for x in bits], pa.binary()), take([x.tobytes() for x in far], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(taken))],
+                    [batch.column(1).slice(start, len(texts)), pa.array(np.array(whole, np.uint64).view(np.int64)), take(size, pa.int32()), take(bits, pa.binary()), take([x.tobytes() for x in far], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(taken))],
                     names=["doc_id", "fp", "size", "parities", "pivots", "prefix"],
                 )
 
@@ -502,14 +519,28 @@ def _near(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             cell, fp, size = cell_numbers(table), table.column("id").to_numpy(), table.column("size").to_numpy()
             order = np.lexsort((fp, size, cell))
             order = order[np.append(True, (cell[order][1:] != cell[order][:-1]) | (fp[order][1:] != fp[order][:-1]))]  # a class comes from each task that met it
-            bits, far = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(len(fp), -1)[order] for c, kind in (("parities", np.uint64), ("pivots", "<i2")))
+            far = np.frombuffer(b"".join(table.column("pivots").to_pylist()), "<i2").reshape(len(fp), -1)[order]
+            bits = table.column("parities").take(pa.array(order)).to_pylist()
             cell, fp, size = (x[order] for x in (cell, fp, size))
-
-            def alike(i, j, size=size, bits=bits, far=far):
+            wide = widths(size)
+            narrow, maps, w = folded(bits, PARITIES), {}, 2 * PARITIES
+            while w <= wide.max():  # row of each bitmap that is so wide, and those bitmaps
+                some = np.flatnonzero(wide >= w)
+                maps[w] = np.searchsorted(some, np.arange(len(fp))), folded([bits[x] for x in some], w)
+                w *= 2
+
+            def alike(i, j, size=size, wide=wide, narrow=narrow, maps=maps, far=far):
                 most = apart * (size[i] + size[j]) + 1e-6
                 good = np.flatnonzero(np.abs(far[i] - far[j]).max(1) <= most)
+                good = good[np.bitwise_count(narrow[i[good]] ^ narrow[j[good]]).sum(1, dtype=np.int32) <= most[good]]
                 out = np.zeros(len(i), bool)
-                out[good] = np.bitwise_count(bits[i[good]] ^ bits[j[good]]).sum(1, dtype=np.int32) <= most[good]
+                out[good] = True
+                both = np.minimum(wide[i[good]], wide[j[good]])
+                for w, (row, maps_w) in maps.items():
+                    pairs = good[both == w]
+                    for k in range(0, len(pairs), 2_000):
+                        part = pairs[k : k + 2_000]
+                        out[part] = np.bitwise_count(maps_w[row[i[part]]] ^ maps_w[row[j[part]]]).sum(1, dtype=np.int32) <= most[part]
                 return out
 
             node, root = candidates(cell, size, similarity, alike)

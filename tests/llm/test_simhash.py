@@ -170,3 +170,32 @@ def test_cells_are_bounded_by_words(spark, monkeypatch):
     texts = [" ".join(base + [word() for _ in range(int(n))]) for n in r.integers(0, 110, 40)]
     texts += [" ".join(word() for _ in range(2_000)), ""]
     check_groups(spark, texts)
+
+
+def test_long_sets_that_share_a_passage_stay_apart(spark):
+    """Texts of several thousand words, whose bitmaps are wide: a shared passage makes no component of them, near copies of other widths do."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    line = [word() for _ in range(300)]
+    texts = [" ".join([word() for _ in range(int(n))] + line) for n in r.integers(2_000, 4_500, 12)]
+    base = texts[0].split()
+    for n in (2_047, 2_049, 2_060, len(base)):  # sizes on both sides of a power of two
+        cut = (base * 2)[:n]
+        texts += [" ".join(cut), " ".join(cut + [word() for _ in range(n // 6)])]
+    check_groups(spark, texts)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    r = np.random.default_rng(9)
+    for n, more in ((10, 3), (1_500, 700), (5_000, 400), (40_000, 9_000)):
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate((a[more // 2 :], r.integers(0, 1 << 63, more).astype(np.uint64)))
+        maps = []
+        for x in (a, b):
+            w = int(simhash.widths(np.array([len(x)]))[0])
+            assert simhash.PARITIES <= w <= simhash.MOST_PARITIES
+            maps.append(np.packbits((np.bincount((x & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1).astype(np.uint8)).tobytes())
+        w = min(map(len, maps)) * 8
+        for width in (simhash.PARITIES, w):
+            one, two = simhash.folded(maps, width)
+            assert np.bitwise_count(one ^ two).sum() <= more + more // 2
